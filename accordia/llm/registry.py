@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .media import op8_media_columns
 from .packing import op7_best_fit_packing
+from .quality import op1_quality_rules
 from .token_output import op5_token_output
+from .url_rules import op9_url_filters
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_output, op7_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op5_token_output, op7_best_fit_packing, op8_media_columns, op9_url_filters)}
 ORACLES: dict[str, str] = {}
