@@ -10,9 +10,10 @@ from .langid import op2_language_id
 from .media import op8_media_columns
 from .neardup import op6_minhash_near_dedup
 from .packing import op7_best_fit_packing
+from .pieces import op3_sentencepiece_nbest
 from .quality import op1_quality_rules
 from .token_output import op5_token_output
 from .url_rules import op9_url_filters
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op5_token_output, op6_minhash_near_dedup, op7_best_fit_packing, op8_media_columns, op9_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_sentencepiece_nbest, op5_token_output, op6_minhash_near_dedup, op7_best_fit_packing, op8_media_columns, op9_url_filters)}
 ORACLES: dict[str, str] = {}
