@@ -296,7 +296,7 @@ class Flow:
 
     def put(self) -> None:
         """End the line, blank or not."""
-        self.emit("".join(self.line).replace(" ", " ").rstrip())
+        self.emit("".join(self.line).replace("\xa0", " ").rstrip())
         self.line, self.space = [], False
 
     def emit(self, s: str) -> None:
