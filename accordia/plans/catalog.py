@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import facts, oracle_base, reports
+
+FACTS = ("candidate", "pair", "issue", "label", "sim", "cluster", "ranked", "selection")
+
+
+def _upto(sql: str) -> str:
+    """The last fact table that a report or what it builds on reads."""
+    text = sql
+    seen: set[str] = set()
+    while more := [n for n in reports.DERIVED if n not in seen and re.search(rf"\b{n}\b", text)]:
+        seen |= set(more)
+        text += "".join(reports.DERIVED[n] for n in more)
+    return next((n for n in ("selection", "cluster", "label", "issue", "pair", "candidate") if re.search(rf"\b(FROM|JOIN) {n}\b", text)), "candidate")
+
+
+def report(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    sql = reports.REPORTS[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        upto = _upto(sql)
+        facts.tables(spark, sf_dir, "issue" if upto == "candidate" else upto)
+        text = sql
+        derived: list[str] = []
+        while more := [n for n in reports.DERIVED if n not in derived and re.search(rf"\b(FROM|JOIN) {n}\b", text)]:
+            derived += more
+            text += "".join(reports.DERIVED[n] for n in more)
+        for n in [n for n in reports.DERIVED if n in derived]:
+            spark.sql(reports.spell(reports.DERIVED[n], True)).createOrReplaceTempView(n)
+        return spark.sql(reports.spell(sql, True))
+
+    return run
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    from . import more
+
+    return {name: report(name) for name in reports.REPORTS} | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import more
+
+    return {name: reports.spell(oracle_base.with_tables(sql, reports.DERIVED), False) for name, sql in reports.REPORTS.items()} | more.ORACLES
