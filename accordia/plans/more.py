@@ -1,2 +1,284 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries that aren't reports over the fact tables: multi-file similarity, diffs, edits, vectors, sources, streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codebleu, diffs, edits, stats, text, vectors
+from ..operators.patches import decomposition, gold_scores
+from ..sources import files
+from ..streaming.ingest import ingest, latest_cells
+from . import facts
+from .oracle_base import _directed, with_tables
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.tables(spark, sf_dir, "candidate")["candidate"]
+
+
+#: Two files for every other variant: the first holds the whole change, the second a part of it, at times one-sided.
+_FILES = """
+SELECT issue, t, concat('src/', repo, '.py') AS file, removed, added FROM candidate
+UNION ALL SELECT issue, t, concat('lib/', lang, '.go') AS file, CASE WHEN v % 3 = 0 THEN '' ELSE repo END AS removed, concat(lang, ' v', cast(v AS varchar(9)), ' ', repo) AS added FROM candidate WHERE (issue + v) % 2 = 0
+"""
+_SMALL = "issue % 10 = 0"
+
+
+def patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _candidates(spark, sf_dir)
+    return spark.sql(_FILES)
+
+
+def q_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ("main", "jaccard", "shared_only", "calibrated")
+    return decomposition(patch_files(spark, sf_dir)).select("issue", "i", "j", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in cols])
+
+
+def q_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = patch_files(spark, sf_dir).groupBy("issue", "t").agg(F.collect_set("file").alias("f"))
+    a, b = sets.select("issue", F.col("t").alias("i"), F.col("f").alias("fa")), sets.select("issue", F.col("t").alias("j"), F.col("f").alias("fb"))
+    return a.join(b, "issue").where("i < j").select("issue", "i", "j", F.round(F.size(F.array_intersect("fa", "fb")) / F.size(F.array_union("fa", "fb")), 6).alias("jaccard"))
+
+
+def q_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir)
+    return gold_scores(c.select("issue", F.col("removed").alias("gold")).distinct(), c.select("issue", "t", "added"))
+
+
+_GROUP_OF = 10
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select((F.col("vec_id") / _GROUP_OF).cast("long").alias("issue"), (F.col("vec_id") % _GROUP_OF).cast("int").alias("t"), "embedding", "label", "vec_id")
+
+
+def q_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    a, b = v.select("issue", F.col("t").alias("i"), F.col("embedding").alias("x")), v.select("issue", F.col("t").alias("j"), F.col("embedding").alias("y"))
+    return a.join(b, "issue").where("i < j").select("issue", "i", "j", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+def q_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_cosine(spark, sf_dir).select("issue", "i", "j", F.round(vectors.calibrated(F.col("cosine")), 6).alias("calibrated"))
+
+
+def q_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir).withColumn("w", F.col("vec_id") % 7 + 1)
+    return vectors.weighted_pool(v, ["label"], "embedding", "w").select("label", F.posexplode("pooled").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x"))
+
+
+def q_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = d.where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("sha256"), F.lit("v1").alias("config"))
+    return vectors.cache_misses(d.where("doc_id % 2 = 1"), cache, "text", "v1").select("sha256")
+
+
+def q_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.expr(text.tokens("text")).alias("tok"))
+    return d.select("doc_id", F.posexplode(vectors.even_chunks(F.col("tok"), 100)).alias("chunk", "part")).select("doc_id", "chunk", F.size("part").alias("tokens"))
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = patch_files(spark, sf_dir)
+    one = F.concat(F.lit("diff --git a/"), "file", F.lit(" b/"), "file", F.lit("\n--- a/"), "file", F.lit("\n+++ b/"), "file", F.lit("\n@@ -1 +1 @@\n keep\n-"), "removed", F.lit("\n+"), "added", F.lit("\n"))
+    return f.select("issue", "t", "file", one.alias("d")).groupBy("issue", "t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "d"))), lambda x: x["d"]), "").alias("diff"))
+
+
+def q_diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diffs(spark, sf_dir).select("issue", "t", F.explode(diffs.changed_paths(F.col("diff"))).alias("file"))
+
+
+def q_diff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diffs(spark, sf_dir).select("issue", "t", F.inline(diffs.parse_diff("diff")))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir)
+    body = F.concat(F.lit("Sure.\n<edits><edit><file>src/"), "repo", F.lit(".py</file>\n<replace_this>\n"), "removed", F.when(F.col("t") % 2 == 0, "\n</replace_this>").otherwise("\n</with_this>"), F.lit("\n<with_this>\n"), "added", F.lit("\n</with_this></edit></edits> <edits></edits>"))
+    return c.select("issue", "t", "removed", "added", body.alias("answer"))
+
+
+def q_edit_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir).select("issue", "t", F.inline(edits.extract_edits("answer")))
+
+
+def q_edit_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits put into files where their place is indented otherwise, found by lines; and the status of each cell."""
+    got = _answers(spark, sf_dir).select("issue", "t", F.explode(edits.extract_edits("answer")).alias("e"), "removed")
+    source = F.concat(F.lit("def f():\n    "), "removed", F.lit("\n    return\n"))
+    done = edits.apply_edits(source, F.array(F.col("e.old_segment")), F.array(F.col("e.new_segment")))
+    return got.select("issue", "t", done.alias("d")).select("issue", "t", "d.text", "d.kinds", "d.error")
+
+
+def q_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(".json")).alias("path"), F.when(F.col("event_id") % 5 == 0, F.concat("props", F.lit("}"))).otherwise(F.col("props")).alias("body"))
+    return p.select("event_id", edits.syntax_ok("path", "body").alias("syntax"))
+
+
+def q_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = patch_files(spark, sf_dir).groupBy("issue").agg(F.sort_array(F.collect_set("file")).alias("gold"))
+    prompt = F.filter(F.col("gold"), lambda x: x.startswith("src/"))
+    return f.select("issue", F.round(diffs.gold_recall(F.col("gold"), prompt), 6).alias("recall"))
+
+
+_EXTS = ["py", "md", "TXT", "go", "snap", "png", "rs", "log"]
+
+
+def q_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.element_at(F.array(*map(F.lit, _EXTS)), (F.col("doc_id") % len(_EXTS) + 1).cast("int"))
+    path = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("a.d/"), "source")).otherwise(F.concat(F.lit("src/"), "source", F.lit("/f."), ext))
+    d = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    return d.where(diffs.is_source(F.col("path")) & diffs.is_safe(F.col("path"))).select("doc_id", "path", diffs.extension(F.col("path")).alias("ext"), diffs.has_test_file(F.array("path")).alias("test"))
+
+
+def q_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.ceil(F.length("text") / 4 * 0.10)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(2048), F.least(n, F.lit(64000))).cast("long").alias("budget"))
+
+
+# What marks an error as one to try again, and one of credit.
+_RETRY = "429|500|502|503|504|rate limit|timeout|timed out|connection|temporarily unavailable|overloaded|internal server error"
+_CREDIT = "402|credit limit|credit_limit|add credits"
+_ERRORS = ["HTTP 429 slow down", "Error 402: add credits", "Read TIMED OUT", "bad request", "Connection reset", "server Overloaded", "invalid key"]
+
+
+def q_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    msg = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % len(_ERRORS) + 1).cast("int"))
+    e = _table(spark, sf_dir, "events").select(msg.alias("m"))
+    return e.select(F.lower("m").rlike(_CREDIT).alias("credit"), (F.lower("m").rlike(_RETRY) & ~F.lower("m").rlike(_CREDIT)).alias("retry")).groupBy("credit", "retry").agg(F.count("*").alias("errors"))
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir).select(F.col("issue").alias("instance_id"), "repo", "t", "status")
+    wide = c.groupBy("instance_id", "repo").pivot("t", list(range(11))).agg(F.first("status"))
+    return wide.select("instance_id", "repo", *[F.col(f"`{t}`").alias(f"Temp_{t / 10:.1f}_oracle") for t in range(11)])
+
+
+def q_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.unpivot_temperatures(_wide(spark, sf_dir), ["instance_id", "repo"], "status")
+
+
+def q_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _wide(spark, sf_dir)
+    cols = [f"Temp_{t / 10:.1f}_oracle" for t in range(11)]
+    shards = [w.where(F.col("instance_id") % 3 == k).select("instance_id", "repo", *[f"`{c}`" for c in cols[: 11 - 2 * k]]) for k in range(3)]
+    out = files.concat_shards(*shards)
+    return out.select("instance_id", "repo", *[F.coalesce(F.col(f"`{c}`"), F.lit("MISSING")).alias(f"t{t}") for t, c in enumerate(cols)])
+
+
+def q_report_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of an issue from an evaluator's JSON report, lists looked up in their order."""
+    lists = ("resolved_ids", "unresolved_ids", "error_ids", "incomplete_ids", "empty_patch_ids")
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(*[F.when(F.col("doc_id") % 7 == k, F.array(F.col("doc_id").cast("string"))).otherwise(F.array().cast("array<string>")).alias(n) for k, n in enumerate(lists)])).alias("report"))
+    r = d.select(F.col("doc_id").cast("string").alias("id"), F.from_json("report", ", ".join(f"{n} array<string>" for n in lists)).alias("r"))
+    out = F.lit("UNKNOWN")
+    for n, code in reversed(list(zip(lists, ("1", "0", "ERROR", "INCOMPLETE", "EMPTY_PATCH"), strict=True))):
+        out = F.when(F.array_contains(F.col(f"r.{n}"), F.col("id")), code).otherwise(out)
+    return r.select("id", out.alias("status"))
+
+
+def q_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fix prompt from an issue's files, and the code block taken out of it again."""
+    f = patch_files(spark, sf_dir).where("t = 0").groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("file", "removed"))).alias("f"))
+    block = F.array_join(F.transform("f", lambda x: F.concat(F.lit("[start of "), x["file"], F.lit("]\n"), x["removed"], F.lit("\n[end of "), x["file"], F.lit("]"))), "\n")
+    p = f.select("issue", F.size("f").alias("n"), F.concat(F.when(F.size("f") > 1, F.lit("Fix these files:\n")).otherwise("Fix this file:\n"), F.lit("<code>\n"), block, F.lit("\n</code>")).alias("prompt"))
+    code = F.regexp_extract("prompt", r"(?s)<code>(.*?)</code>", 1)
+    return p.select("issue", F.length("prompt").alias("chars"), F.array_join(F.regexp_extract_all(code, F.lit(r"\[start of ([^\]]+)\]"), F.lit(1)), ",").alias("named"))
+
+
+def q_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir).select("issue", "repo").distinct()
+    key = F.concat("repo", F.lit("__"), "repo", F.lit("-"), F.col("issue").cast("string"))
+    owner, name, no = F.regexp_extract(key, "^(.*?)__", 1), F.regexp_extract(key, "__(.*)-[0-9]+$", 1), F.regexp_extract(key, "-([0-9]+)$", 1)
+    return c.select("issue", F.concat(F.lit("https://github.com/"), owner, F.lit("/"), name, F.lit("/issues/"), no).alias("link"), F.concat_ws("_", F.translate(key, "/.", "__"), F.lit("run")).alias("run_id"))
+
+
+def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .catalog import report
+
+    return stats.bootstrap(report("agreement_vs_union")(spark, sf_dir).join(spark.table("issue"), "issue").select(F.col("m").alias("passing"), "issue", "delta"))
+
+
+def q_codebleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _candidates(spark, sf_dir).where("t IN (0, 5, 10)").select("issue", "t", "added")
+    a, b = c.select("issue", F.col("t").alias("i"), F.col("added").alias("x")), c.select("issue", F.col("t").alias("j"), F.col("added").alias("y"))
+    return a.join(b, "issue").where("i < j").select("issue", "i", "j", F.round(codebleu.symmetric("x", "y", F.lit("python")), 6).alias("codebleu"))
+
+
+def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as partial results that arrive in files: ingested once, then the latest of each user and type."""
+    schema = _table(spark, sf_dir, "events").schema
+    table, mark = files.shared_dir(spark, "cells"), files.shared_dir(spark, "mark")
+    rows = ingest(spark, sf_dir, "events.parquet", schema, table, mark)
+    return latest_cells(rows.where("event_id IS NOT NULL").withColumn("key", F.struct("ts", "event_id")), ["user_id", "event_type"], "key").select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
+
+
+QUERIES = {
+    "decomposition": q_decomposition, "jaccard_pairs": q_jaccard, "gt_bleu_vector": q_gold, "cosine_pairs": q_cosine, "exp_calibrated": q_calibrated, "weighted_pool": q_pool,
+    "embedding_cache_miss": q_misses, "even_chunks": q_chunks, "diff_files": q_diff_files, "diff_parse": q_diff_parse, "edit_extract": q_edit_extract, "edit_apply": q_edit_apply,
+    "syntax_check": q_syntax, "gold_file_recall": q_recall, "ext_filter": q_ext, "token_budget": q_budget, "retry_class": q_retry, "unpivot_results": q_unpivot, "shard_concat": q_shards,
+    "report_status": q_report_status, "prompt_assembly": q_prompt, "issue_links": q_links, "bootstrap_ci": q_bootstrap, "codebleu_pairs": q_codebleu, "incremental_latest": q_incremental,
+}
+
+_FILE_SQL = {
+    "patch_file": _FILES,
+    "channel": r"SELECT issue, t, file, c, CASE WHEN trim(x) = '' THEN [] ELSE list_filter(string_split_regex(x, '\s+'), lambda w: w <> '') END AS tok FROM (SELECT issue, t, file, 'r' AS c, removed AS x FROM patch_file UNION ALL SELECT issue, t, file, 'a', added FROM patch_file)",
+    "cgram": "SELECT issue, t, file, c, n, array_to_string(tok[p:p + n - 1], ' ') AS g, count(*) AS k FROM (SELECT issue, t, file, c, tok, n, unnest(generate_series(1, len(tok) - n + 1)) AS p FROM channel, (SELECT unnest(generate_series(1, 4)) AS n)) GROUP BY ALL",
+    "chit": f"SELECT a.issue, a.file, a.c, a.t AS i, b.t AS j, {', '.join(f'sum(CASE WHEN a.n = {n} THEN least(a.k, b.k) ELSE 0 END) AS m{n}' for n in range(1, 5))} FROM cgram a JOIN cgram b ON a.issue = b.issue AND a.file = b.file AND a.c = b.c AND a.n = b.n AND a.g = b.g AND a.t < b.t GROUP BY ALL",
+    "cscore": f"""SELECT issue, file, i, j, CASE WHEN la = 0 AND lb = 0 THEN NULL WHEN la = 0 OR lb = 0 THEN 0e0 ELSE round(least(1e0, greatest(0e0, ({_directed('la', 'lb')} + {_directed('lb', 'la')}) / 2e0)), 6) END AS s
+        FROM (SELECT a.issue, a.file, a.t AS i, b.t AS j, len(a.tok) AS la, len(b.tok) AS lb, {', '.join(f'coalesce(h.m{n}, 0) AS m{n}' for n in range(1, 5))} FROM channel a JOIN channel b ON a.issue = b.issue AND a.file = b.file AND a.c = b.c AND a.t < b.t LEFT JOIN chit h ON h.issue = a.issue AND h.file = a.file AND h.c = a.c AND h.i = a.t AND h.j = b.t)""",
+    "fscore": "SELECT issue, file, i, j, coalesce(avg(s), 0e0) AS s FROM cscore GROUP BY issue, file, i, j",
+    "fcount": "SELECT issue, t, count(DISTINCT file) AS c FROM patch_file GROUP BY issue, t",
+}
+
+
+def _o(sql: str) -> str:
+    return with_tables(sql, _FILE_SQL)
+
+
+_DOT = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+_COS = f"round(greatest(-1e0, least(1e0, {_DOT.format(a='a.embedding', b='b.embedding')} / (sqrt({_DOT.format(a='a.embedding', b='a.embedding')}) * sqrt({_DOT.format(a='b.embedding', b='b.embedding')})))), 6)"
+_COSINE = f"SELECT CAST(a.vec_id // 10 AS BIGINT) AS issue, CAST(a.vec_id % 10 AS INTEGER) AS i, CAST(b.vec_id % 10 AS INTEGER) AS j, {_COS} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id // 10 = b.vec_id // 10 AND a.vec_id < b.vec_id"
+_EXT_CASE = " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(_EXTS))
+_ERR_CASE = " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(_ERRORS))
+ORACLES = {
+    "decomposition": _o("""
+SELECT p.issue, p.i, p.j, round(coalesce(sum(f.s), 0) / max(a.c + b.c - coalesce(f.n, 0)) + 1e-9, 6) AS main, round(coalesce(max(f.n), 0) / (1e0 * max(a.c + b.c - coalesce(f.n, 0))) + 1e-9, 6) AS jaccard, round(coalesce(avg(f.s), 0e0) + 1e-9, 6) AS shared_only, round(coalesce(sum(exp(-(1 - f.s) / 0.5e0)), 0) / max(a.c + b.c - coalesce(f.n, 0)) + 1e-9, 6) AS calibrated
+FROM (SELECT DISTINCT a.issue, a.t AS i, b.t AS j FROM patch_file a JOIN patch_file b ON a.issue = b.issue AND a.t < b.t) p JOIN fcount a ON a.issue = p.issue AND a.t = p.i JOIN fcount b ON b.issue = p.issue AND b.t = p.j
+LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY issue, i, j) AS n FROM fscore) f ON f.issue = p.issue AND f.i = p.i AND f.j = p.j GROUP BY p.issue, p.i, p.j"""),
+    "jaccard_pairs": _o("""
+SELECT a.issue, a.t AS i, b.t AS j, round(coalesce(s.n, 0) / (1e0 * (a.c + b.c - coalesce(s.n, 0))), 6) AS jaccard FROM fcount a JOIN fcount b ON a.issue = b.issue AND a.t < b.t
+LEFT JOIN (SELECT x.issue, x.t AS i, y.t AS j, count(*) AS n FROM patch_file x JOIN patch_file y ON x.issue = y.issue AND x.file = y.file AND x.t < y.t GROUP BY ALL) s ON s.issue = a.issue AND s.i = a.t AND s.j = b.t"""),
+    "gt_bleu_vector": _o(f"""
+WITH w AS (SELECT issue, -1 AS t, string_split_regex(removed, '\\s+') AS tok FROM candidate WHERE t = 0 UNION ALL SELECT issue, t, string_split_regex(added, '\\s+') FROM candidate),
+l AS (SELECT issue, t, list_filter(tok, lambda x: x <> '') AS tok FROM w), g AS (SELECT issue, t, n, array_to_string(tok[p:p + n - 1], ' ') AS g, count(*) AS k FROM (SELECT issue, t, tok, n, unnest(generate_series(1, len(tok) - n + 1)) AS p FROM l, (SELECT unnest(generate_series(1, 4)) AS n)) GROUP BY ALL),
+h AS (SELECT a.issue, b.t, {', '.join(f'sum(CASE WHEN a.n = {n} THEN least(a.k, b.k) ELSE 0 END) AS m{n}' for n in range(1, 5))} FROM g a JOIN g b ON a.t = -1 AND b.t >= 0 AND a.issue = b.issue AND a.n = b.n AND a.g = b.g GROUP BY ALL),
+x AS (SELECT a.issue, b.t, len(a.tok) AS la, len(b.tok) AS lb, {', '.join(f'coalesce(h.m{n}, 0) AS m{n}' for n in range(1, 5))} FROM l a JOIN l b ON a.t = -1 AND b.t >= 0 AND a.issue = b.issue LEFT JOIN h ON h.issue = a.issue AND h.t = b.t)
+SELECT issue, t, round(CASE WHEN la = 0 AND lb = 0 THEN 1e0 WHEN la = 0 OR lb = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, ({_directed('la', 'lb')} + {_directed('lb', 'la')}) / 2e0)) END, 6) AS score FROM x"""),
+    "cosine_pairs": _COSINE,
+    "exp_calibrated": f"SELECT issue, i, j, round(exp(-(1 - cosine) / 0.5e0), 6) AS calibrated FROM ({_COSINE})",
+    "weighted_pool": "WITH c AS (SELECT label, vec_id % 7 + 1 AS w, unnest(generate_series(0, len(embedding) - 1)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, pos, sum(w * x) / sum(w) AS x FROM c GROUP BY label, pos) SELECT label, CAST(pos AS INTEGER) AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m",
+    "embedding_cache_miss": "SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)",
+    "even_chunks": r"WITH d AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM documents), k AS (SELECT doc_id, n, CAST(ceil(n / 100e0) AS BIGINT) AS k FROM d WHERE n > 0), c AS (SELECT doc_id, n, k, unnest(generate_series(0, k - 1)) AS chunk FROM k) SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST((chunk + 1) * n // k - chunk * n // k AS INTEGER) AS tokens FROM c",
+    "diff_files": _o("SELECT issue, t, file FROM patch_file"),
+    "diff_parse": _o("SELECT issue, t, file, removed, added FROM patch_file"),
+    "edit_extract": _o("SELECT issue, t, concat('src/', repo, '.py') AS file_path, removed AS old_segment, added AS new_segment FROM candidate"),
+    "syntax_check": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS syntax FROM events",
+    "gold_file_recall": _o("SELECT issue, round(100e0 * count(DISTINCT CASE WHEN starts_with(file, 'src/') THEN file END) / count(DISTINCT file), 6) AS recall FROM patch_file GROUP BY issue"),
+    "ext_filter": f"WITH p AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN concat('a.d/', source) ELSE concat('src/', source, '/f.', CASE doc_id % {len(_EXTS)} {_EXT_CASE} END) END AS path FROM documents), e AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN '[no extension]' ELSE lower(split_part(path, '.', -1)) END AS ext FROM p) SELECT doc_id, path, ext, contains(lower(path), 'test') AS test FROM e WHERE ext NOT IN ('md', 'txt', 'snap', 'png', 'log')",
+    "token_budget": "SELECT doc_id, CAST(greatest(2048, least(ceil(length(text) / 4e0 * 0.10e0), 64000)) AS BIGINT) AS budget FROM documents",
+    "retry_class": f"WITH m AS (SELECT lower(CASE event_id % {len(_ERRORS)} {_ERR_CASE} END) AS m FROM events) SELECT regexp_matches(m, '{_CREDIT}') AS credit, regexp_matches(m, '{_RETRY}') AND NOT regexp_matches(m, '{_CREDIT}') AS retry, count(*) AS errors FROM m GROUP BY ALL",
+    "unpivot_results": _o("SELECT issue AS instance_id, repo, t, status FROM candidate"),
+    "shard_concat": _o("SELECT issue AS instance_id, repo, " + ", ".join(f"max(CASE WHEN t = {t} AND {t} < 11 - 2 * (issue % 3) THEN status WHEN t = {t} THEN 'MISSING' END) AS t{t}" for t in range(11)) + " FROM candidate GROUP BY issue, repo"),
+    "report_status": "SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 7 WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN 'ERROR' WHEN 3 THEN 'INCOMPLETE' WHEN 4 THEN 'EMPTY_PATCH' ELSE 'UNKNOWN' END AS status FROM documents",
+    "prompt_assembly": _o("""
+SELECT issue, CAST(CASE WHEN count(*) > 1 THEN 17 ELSE 15 END + 7 + 8 + sum(length(file) * 2 + length(removed) + 22) + count(*) - 1 AS INTEGER) AS chars, string_agg(file, ',' ORDER BY file) AS named FROM patch_file WHERE t = 0 GROUP BY issue"""),
+    "issue_links": _o("SELECT DISTINCT issue, concat('https://github.com/', repo, '/', repo, '/issues/', issue) AS link, concat(repo, '__', repo, '-', issue, '_run') AS run_id FROM candidate"),
+    "incremental_latest": "SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
+}

@@ -116,7 +116,7 @@ SELECT bins.missing, cast(count(gone.issue) AS bigint) AS issues FROM bins LEFT
     "roc_auc": "SELECT issue, t10, cid, round(roc_auc, 6) AS roc_auc FROM cluster",
     "avg_precision": "SELECT issue, t10, cid, round(pr_auc, 6) AS pr_auc FROM cluster",
     # summary and threshold reports
-    "threshold_summary": "SELECT strategy, issue, subset, t10, n, m, k, cid, size, tp, fp, fn, tn, " + ", ".join(f"round({x}, 6) AS {x}" for x in _METRICS) + " FROM selection",
+    "threshold_summary": "SELECT strategy, issue, subset, t10, n, m, k, coalesce(cid, -1) AS cid, size, tp, fp, fn, tn, " + ", ".join(f"round({x}, 6) AS {x}" for x in _METRICS) + " FROM selection",
     "threshold_averages": f"""
 WITH f AS (SELECT subset, t10, count(*) AS issues FROM frame WHERE subset IS NOT NULL GROUP BY subset, t10)
 SELECT s.subset, s.strategy, s.t10, cast(count(*) AS bigint) AS available, cast(max(f.issues) AS bigint) AS issues, round(count(*) / (1e0 * max(f.issues)), 6) AS availability, round(avg(1e0 * s.size), 6) AS avg_size, cast(sum(CASE WHEN s.tp = 0 THEN 1 ELSE 0 END) AS bigint) AS without_pass,
@@ -141,7 +141,7 @@ WITH a AS (SELECT strategy, t10, round(avg(f1), 9) AS f1, round(avg(precision),
 r AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY f1 DESC, p DESC, r DESC, t10) AS place FROM a)
 SELECT strategy, t10, round(f1, 6) AS f1, round(p, 6) AS precision, round(r, 6) AS recall FROM r WHERE place = 1""",
     "oracle_threshold_per_issue": "SELECT issue, t10, round(f1, 6) AS f1 FROM (SELECT issue, t10, f1, row_number() OVER (PARTITION BY issue ORDER BY f1 DESC, precision DESC, recall DESC, t10) AS place FROM selection WHERE strategy = 'oracle') x WHERE place = 1",
-    "threshold_range": "SELECT issue, min(CASE WHEN k >= 2 THEN t10 END) AS min_t10, max(CASE WHEN k < n THEN t10 END) AS max_t10 FROM frame GROUP BY issue",
+    "threshold_range": "SELECT issue, cast(min(CASE WHEN k >= 2 THEN t10 END) AS double) AS min_t10, cast(max(CASE WHEN k < n THEN t10 END) AS double) AS max_t10 FROM frame GROUP BY issue",
     "range_avg_f1": """
 WITH r AS (SELECT issue, min(CASE WHEN k >= 2 THEN t10 END) AS low, max(CASE WHEN k < n THEN t10 END) AS high FROM frame GROUP BY issue)
 SELECT s.strategy, s.issue, cast(count(*) AS bigint) AS thresholds, round(avg(s.f1), 6) AS f1 FROM selection s JOIN r ON s.issue = r.issue AND s.t10 BETWEEN r.low AND r.high GROUP BY s.strategy, s.issue""",
@@ -216,7 +216,7 @@ SELECT strategy, concat(strategy, ' & ', replace(LISTAGG[cell; t10], '|', ' & ')
     "invariants": """
 SELECT cast(sum(CASE WHEN s.size < 1 OR s.size > s.n OR s.tp < 0 OR s.tp > s.size THEN 1 ELSE 0 END) AS bigint) AS bad_sizes, cast(sum(CASE WHEN s.strategy IN ('largest', 'smallest', 'singleton_furthest') AND s.f1 > o.f1 + 1e-9 THEN 1 ELSE 0 END) AS bigint) AS above_oracle, cast(count(DISTINCT o.issue) AS bigint) AS issues
 FROM selection s JOIN selection o ON o.strategy = 'oracle' AND o.issue = s.issue AND o.t10 = s.t10""",
-} | {f"select_{s}": f"SELECT issue, t10, cid, size, tp, round(f1, 6) AS f1 FROM selection WHERE strategy = '{s}'" for s in ("largest", "smallest", "densest", "singleton_furthest", "singleton_union", "oracle", "oracle_roc_auc")}
+} | {f"select_{s}": f"SELECT issue, t10, coalesce(cid, -1) AS cid, size, tp, round(f1, 6) AS f1 FROM selection WHERE strategy = '{s}'" for s in ("largest", "smallest", "densest", "singleton_furthest", "singleton_union", "oracle", "oracle_roc_auc")}
 
 
 def spell(sql: str, spark: bool) -> str:
