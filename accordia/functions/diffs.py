@@ -35,7 +35,7 @@ def parse(diff: str | None) -> list[tuple[str, str, str]]:
     inside = False
     lines = (diff or "").splitlines()
     skip = False
-    for line, after in zip(lines, [*lines[1:], ""], strict=True):
+    for line, after in zip(lines, [*lines[1:], ""], strict=False):
         if skip:
             skip = False
             continue

@@ -177,7 +177,7 @@ def fallback_diff(edits: list[tuple[str, str, str]]) -> str:
     if out or not edits:
         return out
     path, old, _ = edits[0]
-    return unified(path, old + "\n", spaced(old))
+    return unified(path, old + "\n", spaced(old + "\n"))
 
 
 def spaced(text: str) -> str:
