@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 import zlib
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -423,7 +424,7 @@ class Scorer:
         s = shards_of(keys, self.files.bigrams)
         order = np.argsort(s, kind="stable")
         cuts = np.flatnonzero(np.diff(s[order], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(s)], strict=True):
+        for a, b in pairwise([*cuts.tolist(), len(s)]):
             if (level := self.shard(int(s[order[a]]))) is not None:
                 own = order[a:b]
                 found[own] = level.find((keys[own] >> np.uint64(32)).astype(np.int64), (keys[own] & np.uint64(0xFFFFFFFF)).astype(np.int64))
