@@ -22,22 +22,22 @@ def _upto(sql: str) -> str:
     return next((n for n in ("selection", "cluster", "label", "issue", "pair", "candidate") if re.search(rf"\b(FROM|JOIN) {n}\b", text)), "candidate")
 
 
+def run_report(spark: SparkSession, name: str, make: Callable[[str], object]) -> DataFrame:
+    """The report over views that make(last fact table) registers."""
+    text = sql = reports.REPORTS[name]
+    upto = _upto(sql)
+    make("issue" if upto == "candidate" else upto)
+    derived: list[str] = []
+    while more := [n for n in reports.DERIVED if n not in derived and re.search(rf"\b(FROM|JOIN) {n}\b", text)]:
+        derived += more
+        text += "".join(reports.DERIVED[n] for n in more)
+    for n in [n for n in reports.DERIVED if n in derived]:
+        spark.sql(reports.spell(reports.DERIVED[n], True)).createOrReplaceTempView(n)
+    return spark.sql(reports.spell(sql, True))
+
+
 def report(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    sql = reports.REPORTS[name]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        upto = _upto(sql)
-        facts.tables(spark, sf_dir, "issue" if upto == "candidate" else upto)
-        text = sql
-        derived: list[str] = []
-        while more := [n for n in reports.DERIVED if n not in derived and re.search(rf"\b(FROM|JOIN) {n}\b", text)]:
-            derived += more
-            text += "".join(reports.DERIVED[n] for n in more)
-        for n in [n for n in reports.DERIVED if n in derived]:
-            spark.sql(reports.spell(reports.DERIVED[n], True)).createOrReplaceTempView(n)
-        return spark.sql(reports.spell(sql, True))
-
-    return run
+    return lambda spark, sf_dir: run_report(spark, name, lambda upto: facts.tables(spark, sf_dir, upto))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

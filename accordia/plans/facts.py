@@ -45,15 +45,15 @@ SELECT issue, n, m, raw_pass, CASE WHEN n = 0 THEN NULL WHEN raw_pass AND m > 0
 #: Max-min closure: the best path between two candidates is as strong as its weakest step. cid counts first appearances.
 LABEL = """
 WITH c AS (SELECT issue, array_sort(collect_list(t)) AS ts FROM candidate WHERE valid GROUP BY issue),
-p AS (SELECT issue, map_from_entries(collect_list(struct(i * 16 + j, score))) AS s FROM pair WHERE valid GROUP BY issue),
-m AS (SELECT c.issue, ts, transform(ts, x -> transform(ts, y -> if(x = y, 1D, coalesce(s[least(x, y) * 16 + greatest(x, y)], 0D)))) AS w FROM c LEFT JOIN p ON c.issue = p.issue),
+p AS (SELECT issue, map_from_entries(collect_list(struct(i * 1024 + j, score))) AS s FROM pair WHERE valid GROUP BY issue),
+m AS (SELECT c.issue, ts, transform(ts, x -> transform(ts, y -> if(x = y, 1D, coalesce(s[least(x, y) * 1024 + greatest(x, y)], 0D)))) AS w FROM c LEFT JOIN p ON c.issue = p.issue),
 k AS (SELECT issue, ts, aggregate(sequence(0, size(w) - 1), w, (acc, k) -> transform(acc, r -> zip_with(r, acc[k], (x, y) -> greatest(x, least(r[k], y))))) AS w FROM m),
 e AS (SELECT issue, ts, w, explode(sequence(1, 9)) AS t10 FROM k),
 r AS (SELECT issue, ts, t10, transform(w, r -> array_position(transform(r, x -> x >= t10 / 10D), true)) AS rep FROM e),
 d AS (SELECT *, array_sort(array_distinct(rep)) AS reps FROM r)
-SELECT issue, t10, x.t AS t, cast(array_position(reps, x.rep) - 1 AS int) AS cid FROM d LATERAL VIEW explode(arrays_zip(ts, rep)) AS z LATERAL VIEW inline(array(named_struct('t', z.ts, 'rep', z.rep))) AS t, rep
+SELECT issue, t10, z.ts AS t, cast(array_position(reps, z.rep) - 1 AS int) AS cid FROM (SELECT *, explode(arrays_zip(ts, rep)) AS z FROM d)
 """
-LABEL = LABEL.rsplit("SELECT", 1)[0] + "SELECT issue, t10, z.ts AS t, cast(array_position(reps, z.rep) - 1 AS int) AS cid FROM (SELECT *, explode(arrays_zip(ts, rep)) AS z FROM d)"
+
 
 #: What follows is in both dialects; the reports' SQL builds on it too.
 SIM = """
@@ -126,6 +126,11 @@ UNION ALL SELECT 'singleton_union' AS strategy, issue, subset, n, m, k, multi, t
 """
 
 _made: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: The tables in the order they are made.
+STEPS = {
+    "candidate": None, "grams": GRAMS, "pair": PAIR, "issue": ISSUE, "label": LABEL, "sim": SIM, "reach": REACH, "curves": CURVES,
+    "dense": DENSE, "cluster": CLUSTER, "far": FAR, "ranked": RANKED, "selection": SELECTION,
+}
 SETTLED = ("candidate", "grams", "pair", "label", "cluster", "selection")
 
 
@@ -134,19 +139,25 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CANDIDATE).selectExpr("*", f"{VALID} AS valid")
 
 
-def tables(spark: SparkSession, sf_dir: str, upto: str = "selection") -> dict[str, DataFrame]:
+def tables(spark: SparkSession, sf_dir: str, upto: str = "selection", source: DataFrame | None = None, pairs: DataFrame | None = None) -> dict[str, DataFrame]:
     """The fact tables of an input folder, each written once into the shared folder; also registered as views.
 
-    Made as far as `upto`; a later call goes on from there.
+    Made as far as `upto`; a later call goes on from there. With `source`, sf_dir is only a name for a study of those
+    candidates; with `pairs` (issue, i, j, score), scores come from there instead of BLEU of the added texts.
     """
     made = _made.setdefault(spark.sparkContext, {}).setdefault(sf_dir, {})
-    steps = {
-        "candidate": None, "grams": GRAMS, "pair": PAIR, "issue": ISSUE, "label": LABEL, "sim": SIM, "reach": REACH, "curves": CURVES,
-        "dense": DENSE, "cluster": CLUSTER, "far": FAR, "ranked": RANKED, "selection": SELECTION,
-    }
-    for name, sql in steps.items():
+    for name, sql in STEPS.items():
         if name not in made:
-            df = candidates(spark, sf_dir) if sql is None else spark.sql(sql)
+            if name == "candidate":
+                df = candidates(spark, sf_dir) if source is None else source
+            elif name == "pair" and pairs is not None:
+                valid = made["candidate"].where("valid").select("issue", "t")
+                ok = pairs.join(valid.withColumnRenamed("t", "i"), ["issue", "i"], "left_semi").join(valid.withColumnRenamed("t", "j"), ["issue", "j"], "left_semi")
+                df = ok.selectExpr("issue", "i", "j", "true AS valid", "round(score, 6) AS score")
+            elif name == "grams" and pairs is not None:
+                continue
+            else:
+                df = spark.sql(sql)
             made[name] = settle(df, name) if name in SETTLED else df
         made[name].createOrReplaceTempView(name)
         if name == upto:

@@ -87,3 +87,10 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of repeated partial results the latest of each key."""
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     return rows.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+
+
+def latex_table(df: DataFrame, label: str, columns: list[str]) -> str:
+    """Rows of a small report as lines of a LaTeX table: three decimals, -- for null."""
+    cells = [F.coalesce(F.format_string("%.3f", F.col(c).cast("double")), F.lit("--")) for c in columns]
+    lines = df.select(label, F.concat_ws(" & ", label, *[F.when(F.col(c).isNull(), "--").otherwise(x) for c, x in zip(columns, cells, strict=True)]).alias("line")).orderBy(label)
+    return "\n".join(r.line + " " + 2 * chr(92) for r in lines.collect())

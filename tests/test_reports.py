@@ -84,3 +84,29 @@ def test_invariants(spark, sf):
 def test_bootstrap_mean_is_inside(spark, sf):
     for r in QUERIES["bootstrap_ci"](spark, sf).where("low IS NOT NULL").collect():
         assert r.low <= r.mean + 1e-9 and r.mean - 1e-9 <= r.high and r.text.startswith("[")
+
+
+def test_own_candidates(spark, tmp_path):
+    """Components by transitivity, patterns, densities and selections of a case worked out by hand."""
+    from accordia.plans.study import Study
+
+    cells = spark.createDataFrame([("i1", t, f"w{t} x y z", s, 1) for t, s in enumerate(("1", " 1.0 ", "0", "0"))] + [("i2", 0, "a", "MISSING", 1)], "issue string, t int, added string, status string, syntax int")
+    scores = spark.createDataFrame([("i1", 0, 1, 0.9), ("i1", 1, 2, 0.7), ("i1", 0, 2, 0.1), ("i1", 0, 3, 0.2), ("i1", 1, 3, 0.2), ("i1", 2, 3, 0.2)], "issue string, i int, j int, score double")
+    s = Study(spark, cells, scores)
+    pattern = {r.t10: r.pattern for r in s.report("size_pattern").collect()}
+    assert (pattern[9], pattern[7], pattern[2]) == ("2|1|1", "3|1", "4")
+    frag = {r.t10: r.fragmentation for r in s.report("fragmentation").collect()}
+    assert (frag[9], frag[7], frag[2]) == (0.833333, 0.5, 0.0)
+    big = s.report("confusion").where("t10 = 7 AND size = 3").first()
+    assert (big.tp, big.fp, big.fn, big.tn, big.f1, big.mcc) == (2, 1, 0, 1, 0.8, 0.57735)
+    assert s.report("density").where("t10 = 7 AND size = 3").first().density == 0.566667
+    assert s.report("roc_auc").where("t10 = 7 AND cid = 0").first().roc_auc == 1.0
+    assert s.report("avg_precision").where("t10 = 7 AND cid = 0").first().pr_auc == 1.0
+    far = s.table("selection").where("strategy = 'singleton_furthest' AND t10 = 9").first()
+    assert far.cid == 2 and s.table("selection").where("strategy = 'smallest'").count() == 0
+    assert s.report("winner_ties").count() > 0
+    s.write(str(tmp_path), ["avg_f1", "rq1_prevalence"])
+    assert (tmp_path / "avg_f1").exists()
+    from accordia.sources.files import latex_table
+
+    assert latex_table(s.report("avg_f1"), "strategy", ["t9"]).count("&") >= 3
