@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codebleu, diffs, edits, stats, text, vectors
+from ..operators import conversion, embedding
 from ..operators.patches import decomposition, gold_scores
 from ..sources import files
 from ..streaming.ingest import ingest, latest_cells
@@ -219,7 +220,26 @@ def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_cells(rows.where("event_id IS NOT NULL").withColumn("key", F.struct("ts", "event_id")), ["user_id", "event_type"], "key").select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
 
 
+def q_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers turned into patches of the issues' files; every seventh issue has no file, so its patches are fallbacks."""
+    a = _answers(spark, sf_dir)
+    files_ = a.where("issue % 7 <> 0").select("issue", "removed").distinct().join(_candidates(spark, sf_dir).select("issue", "repo").distinct(), "issue")
+    sources = files_.select("issue", F.concat(F.lit("src/"), "repo", F.lit(".py")).alias("path"), F.concat(F.lit("# a\n"), "removed", F.lit("\n# z\n")).alias("content"))
+    return conversion.predictions(a.select("issue", "t", "answer"), sources)
+
+
+def q_conversion_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversion.totals(q_conversion(spark, sf_dir))
+
+
+def q_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector similarity with the stand-in embedder."""
+    files_, _ = embedding.channel_vectors(patch_files(spark, sf_dir), embedding.Hashing(), "hashing-64")
+    return embedding.decomposition(files_).select("issue", "i", "j", *[F.round(c, 6).alias(c) for c in ("main", "jaccard", "shared_only", "raw")])
+
+
 QUERIES = {
+    "answer_conversion": q_conversion, "conversion_totals": q_conversion_totals, "embedded_pairs": q_embedded,
     "decomposition": q_decomposition, "jaccard_pairs": q_jaccard, "gt_bleu_vector": q_gold, "cosine_pairs": q_cosine, "exp_calibrated": q_calibrated, "weighted_pool": q_pool,
     "embedding_cache_miss": q_misses, "even_chunks": q_chunks, "diff_files": q_diff_files, "diff_parse": q_diff_parse, "edit_extract": q_edit_extract, "edit_apply": q_edit_apply,
     "syntax_check": q_syntax, "gold_file_recall": q_recall, "ext_filter": q_ext, "token_budget": q_budget, "retry_class": q_retry, "unpivot_results": q_unpivot, "shard_concat": q_shards,

@@ -158,3 +158,54 @@ def test_resumable_ingest(spark, tmp_path):
         rows = ingest(spark, src, "*.parquet", "key int, at int, status string", table, mark)
         assert rows.count() == 2 * (k + 1)
     assert latest_cells(rows, ["key"], "at").where("key = 1").first().status == "s1"
+
+
+def test_conversion(spark):
+    from accordia.operators import conversion
+
+    edit = "<edits><edit><file>{}</file><replace_this>{}</replace_this><with_this>{}</with_this></edit></edits>"
+    src = {"a.py": "x = 1\ny = 2\n"}
+    patch, status, kinds = conversion.convert(edit.format("a.py", "x = 1", "x = 3"), src)
+    assert diffs.parse(patch) == [("a.py", "x = 1", "x = 3")] and (status, kinds) == ("1", "exact string match")
+    assert conversion.convert(edit.format("a.py", "x = 1", "x = ("), src)[1] == "0"
+    patch, status, _ = conversion.convert(edit.format("gone.py", "x", "y"), src)
+    assert status == conversion.FALLBACK and diffs.parse(patch) == [("gone.py", "x", "y")]
+    assert conversion.convert(edit.format("../a.py", "x", "y"), {"../a.py": "x"})[1] == conversion.FALLBACK
+    assert conversion.convert("no edits", src)[1] == "ERROR" and conversion.convert(None, src)[1] == "MISSING"
+    assert conversion.convert(edit.format("a.py", "x = 1", "x = 1"), src)[1] == "1"
+    answers = spark.createDataFrame([("i", 0, edit.format("a.py", "x = 1", "x = 3")), ("i", 1, None)], "issue string, t int, answer string")
+    sources = spark.createDataFrame([("i", "a.py", src["a.py"])], "issue string, path string, content string")
+    r = conversion.totals(conversion.predictions(answers, sources)).first()
+    assert (r.converted, r.fallbacks, r.failed, r.exact) == (1, 0, 1, 1)
+
+
+def test_embedding_cache(spark):
+    from accordia.operators import embedding
+
+    rows = [(1, 0, "f", "a b", ""), (1, 1, "f", "a b", "c"), (1, 1, "g", "", "x")]
+    df = spark.createDataFrame(rows, "issue int, t int, file string, removed string, added string")
+    files_, new = embedding.channel_vectors(df, embedding.Hashing(16), "v")
+    assert new.count() == 3 and files_.count() == 3
+    r = embedding.decomposition(files_).first()
+    assert r.jaccard == 0.5 and r.raw == pytest.approx(0.25) and r.main == pytest.approx(math.exp(-1) / 2)
+    again, more = embedding.channel_vectors(df, embedding.Hashing(16), "v", new)
+    assert more.count() == 0 and again.where("r IS NOT NULL").count() == 2
+
+
+def test_models(spark):
+    from accordia.sources import models
+
+    calls, waits = [], []
+
+    def flaky(prompt, temperature, room):
+        calls.append(room)
+        if len(calls) < 3:
+            raise RuntimeError("503 overloaded")
+        return "done"
+
+    assert models.ask(flaky, "p" * 400_000, 0.1, sleep=waits.append) == ("done", None) and calls == [10_000] * 3 and 2 <= waits[0] <= 4 <= waits[1] <= 6
+    assert models.ask(lambda *a: 1 / 0, "p", 0.1, sleep=waits.append)[1].startswith("ZeroDivisionError") and len(waits) == 2
+    assert not models.retryable("402 connection") and models.retryable("Timed out")
+    prompts = spark.createDataFrame([("i", "hello")], "issue string, text string")
+    got = models.answers(prompts, lambda: lambda p, t, room: f"{p} {t}").orderBy("t").collect()
+    assert len(got) == 11 and got[3].answer == "hello 0.3"
