@@ -114,7 +114,7 @@ FROM cluster c LEFT JOIN far f ON c.issue = f.issue AND c.t10 = f.t10 AND c.cid
 FIELDS = "issue, subset, n, m, k, multi, t10, cid, size, tp, fp, fn, tn, precision, recall, f1, specificity, mcc, density, roc_auc, pr_auc"
 SELECTION = f"""
 WITH small AS (SELECT *, row_number() OVER (PARTITION BY issue, t10 ORDER BY size, density DESC, cid) AS nth FROM ranked WHERE size > 1 AND multi >= 2 AND by_size > 1),
-s AS (SELECT issue, max(subset) AS subset, max(n) AS n, max(m) AS m, max(k) AS k, max(multi) AS multi, t10, cast(NULL AS int) AS cid, cast(sum(size) AS int) AS size, cast(sum(tp) AS int) AS tp FROM ranked WHERE size = 1 GROUP BY issue, t10 HAVING count(*) >= 2),
+s AS (SELECT issue, subset, n, m, k, multi, t10, cast(NULL AS int) AS cid, cast(sum(size) AS int) AS size, cast(sum(tp) AS int) AS tp FROM ranked WHERE size = 1 GROUP BY issue, subset, n, m, k, multi, t10 HAVING count(*) >= 2),
 q AS (SELECT s.*, size - tp AS fp, m - tp AS fn, n - m - size + tp AS tn FROM s)
 SELECT 'largest' AS strategy, {FIELDS} FROM ranked WHERE by_size = 1 AND size > 1
 UNION ALL SELECT 'smallest' AS strategy, {FIELDS} FROM small WHERE nth = 1

@@ -17,15 +17,15 @@ GROUPS = """
 SELECT d.definition, s.issue, s.subset, s.n, s.m, s.k, s.t10, 'majority' AS grp, s.size, s.tp FROM selection s CROSS JOIN defs d WHERE s.strategy = 'largest' AND s.size < s.n AND (d.definition = '2-Largest' OR 2 * s.size > s.n)
 UNION ALL SELECT d.definition, s.issue, s.subset, s.n, s.m, s.k, s.t10, 'minority' AS grp, s.size, s.tp FROM selection s CROSS JOIN defs d WHERE s.strategy = 'smallest' AND s.size < s.n
 UNION ALL SELECT '1-Majority' AS definition, s.issue, s.subset, s.n, s.m, s.k, s.t10, 'minority' AS grp, s.size, s.tp FROM selection s WHERE s.strategy = 'largest' AND s.multi = 1 AND s.size < s.n AND 2 * s.size <= s.n
-UNION ALL SELECT d.definition, c.issue, max(c.subset) AS subset, max(c.n) AS n, max(c.m) AS m, max(c.k) AS k, c.t10, 'disagreement' AS grp, cast(sum(c.size) AS int) AS size, cast(sum(c.tp) AS int) AS tp FROM cluster c CROSS JOIN defs d WHERE c.size = 1 GROUP BY d.definition, c.issue, c.t10
+UNION ALL SELECT d.definition, c.issue, c.subset, c.n, c.m, c.k, c.t10, 'disagreement' AS grp, cast(sum(c.size) AS int) AS size, cast(sum(c.tp) AS int) AS tp FROM cluster c CROSS JOIN defs d WHERE c.size = 1 GROUP BY d.definition, c.issue, c.subset, c.n, c.m, c.k, c.t10
 """
 #: One row per issue and threshold.
 FRAME = """
-SELECT issue, max(subset) AS subset, max(n) AS n, max(m) AS m, t10, max(k) AS k, max(multi) AS multi, cast(sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) AS int) AS singles,
+SELECT issue, subset, n, m, t10, k, multi, cast(sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) AS int) AS singles,
   cast(sum(CASE WHEN size = n THEN 1 ELSE 0 END) AS int) AS fulls,
-  CASE WHEN max(n) <= 1 THEN 0e0 ELSE round(greatest(0e0, least(1e0, 1 - sum(size * (size - 1)) / (1e0 * max(n) * (max(n) - 1)))), 9) END AS fragmentation,
+  CASE WHEN n <= 1 THEN 0e0 ELSE round(greatest(0e0, least(1e0, 1 - sum(size * (size - 1)) / (1e0 * n * (n - 1)))), 9) END AS fragmentation,
   LISTAGG[cast(size AS varchar(9)); size DESC] AS pattern
-FROM cluster GROUP BY issue, t10
+FROM cluster GROUP BY issue, subset, n, m, k, multi, t10
 """
 #: Gains over random choice, where the partition separates: 1 < k < n.
 CASES = """
