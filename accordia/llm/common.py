@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -78,6 +81,7 @@ def read_file(uri: str) -> bytes:
 
 
 _fetched: dict[str, str] = {}
+_libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and ctypes.util.find_library("c") else None
 
 
 def mapped(uri: str) -> np.ndarray:
@@ -151,3 +155,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
