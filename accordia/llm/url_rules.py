@@ -113,3 +113,24 @@ def judge(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> Dat
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "pages"), common.table(spark, sf_dir, "labels"))
+
+
+_FITS = "\n  UNION ALL ".join(f"SELECT {len(h + p)} AS length, '{h + p}' AS rule, '{v}' AS verdict, '{h}' AS h, '{p}' AS p" for v, h, p in RULES)
+#: The same in DuckDB's SQL; rules by counting every subset of a labelled URL's tokens.
+ORACLE = rf"""
+WITH parted AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parted),
+fixed AS ({_FITS}),
+fit AS (SELECT DISTINCT s.url, max_by(f.rule, f.length) AS rule, max_by(f.verdict, f.length) AS verdict FROM split s JOIN fixed f ON (s.host = f.h OR ends_with(s.host, '.' || f.h)) AND starts_with(s.path, f.p) GROUP BY s.url),
+label AS (SELECT string_split(host, '.') AS l, * FROM split WHERE host <> ''),
+item AS (SELECT page_id, url, list_distinct(list_concat(list_transform(generate_series(1, len(l)), lambda i: 'h=' || array_to_string(l[i:], '.')),
+  list_transform(regexp_extract_all(lower(path), '[^/._-]+'), lambda w: 'p=' || CASE WHEN regexp_full_match(w, '[0-9]+') THEN '#' ELSE w END), list_transform(regexp_extract_all(url, '[?&]([^=&#]+)', 1), lambda w: 'q=' || w), ['s=' || lower(split_part(url, '://', 1))])) AS items FROM label),
+truth AS (SELECT doc_id, bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS block FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+trans AS (SELECT list_sort(i.items) AS items, t.block FROM item i JOIN truth t ON t.doc_id = i.page_id),
+least AS (SELECT ceil(greatest({Mining.min_support}e0, {Mining.min_count}e0 / count(*)) * count(*)) AS c FROM trans),
+part AS (SELECT block, items, unnest(generate_series(1, (1::BIGINT << len(items)) - 1)) AS mask FROM trans),
+sub AS (SELECT block, list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS tokens FROM part),
+rules AS (SELECT tokens, count(*) FILTER (block) / (1e0 * count(*)) AS confidence FROM sub GROUP BY tokens HAVING count(*) FILTER (block) >= (SELECT c FROM least) AND count(*) FILTER (block) / (1e0 * count(*)) >= {Mining.min_confidence}e0),
+hit AS (SELECT u.url, r.tokens, row_number() OVER (PARTITION BY u.url ORDER BY r.confidence DESC, len(r.tokens), r.tokens DESC) AS nth FROM (SELECT DISTINCT url, items FROM item) u JOIN rules r ON list_has_all(u.items, r.tokens))
+SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, CASE WHEN h.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN f.rule IS NULL THEN array_to_string(h.tokens, ' ') END AS mined
+FROM split s LEFT JOIN fit f ON f.url = s.url LEFT JOIN hit h ON h.url = s.url AND h.nth = 1"""
