@@ -142,7 +142,7 @@ def calibrate(stats: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[
 
 
 def rejection(cutoffs: dict[str, dict[tuple[str, str], float]]):
-    """The first rule (in RULES' order) whose cutoff a row with stratum and statistics passes; null if none."""
+    """The first rule, by name and side, whose cutoff a row with stratum and statistics passes; null if none."""
     tests = F.lit(None).cast("string")
     for stratum, rules in cutoffs.items():
         hit = F.lit(None).cast("string")
@@ -187,3 +187,33 @@ def filter_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) ->
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def oracle(risk: Risk = Risk()) -> str:
+    """op1_quality_rules in DuckDB's SQL."""
+    cuts = ", ".join(f"('{n}', '{side}', {k}, {c!r}, '{n}{side}{c:g}')" for (n, side), v in RULES.items() for k, c in enumerate(v))
+    stats = [x.split()[0] for x in STATS.split(", ")]
+    return rf"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '?') AS stratum, coalesce(text, '') AS x FROM documents),
+w AS (SELECT r, doc_id, stratum, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w FROM doc),
+win AS (SELECT r, i, w[i] || chr(0) || w[i + 1] || chr(0) || w[i + 2] AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w)),
+often AS (SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS c FROM win JOIN often USING (r, g), (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+line AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT r, unnest(string_split(x, chr(10))) AS l FROM doc) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+base AS (SELECT w.r, doc_id, stratum, len(w) AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CASE WHEN len(w) > 0 THEN coalesce(dup, 0) ELSE 0 END AS n_dup_lines, coalesce(c, 0) AS n_repeat_words,
+  length(regexp_replace(x, '[^!]', '', 'g')) AS bang, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS cap, length(regexp_replace(x, '[^.,;:?]', '', 'g')) AS mark, n AS lines FROM w LEFT JOIN rep ON rep.r = w.r LEFT JOIN line ON line.r = w.r),
+full_ AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / (1e0 * word_chars) AS symbols, bang / (1e0 * n_words) AS bangs, cap / (1e0 * word_chars) AS capitals, n_dup_lines / (1e0 * lines) AS dup_lines, n_repeat_words / (1e0 * n_words) AS repeats, word_chars / (1e0 * n_words) AS word_length, mark / (1e0 * n_words) AS marks FROM base),
+stat AS (SELECT r, stratum, doc_id, unnest({stats}) AS name, unnest([{', '.join(stats)}]) AS v FROM full_ WHERE NOT base_failed),
+cut(name, side, nth, cutoff, label) AS (VALUES {cuts}),
+truth AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT s.*, t.good FROM stat s JOIN truth t USING (doc_id)),
+total AS (SELECT stratum, count(DISTINCT CASE WHEN good THEN r END) AS n FROM held GROUP BY stratum),
+strata AS (SELECT count(*) AS c FROM total),
+hit AS (SELECT h.stratum, c.name, c.side, c.nth, c.cutoff, c.label, count(*) FILTER (good AND CASE c.side WHEN '+' THEN v > c.cutoff ELSE v < c.cutoff END) AS k, count(*) FILTER (NOT good AND CASE c.side WHEN '+' THEN v > c.cutoff ELSE v < c.cutoff END) AS bad FROM held h JOIN cut c USING (name) GROUP BY ALL),
+p AS (SELECT h.*, t.n, t.n > 0 AND k < {risk.risk}e0 * t.n AS few FROM hit h JOIN total t USING (stratum)),
+tails AS (SELECT stratum, name, side, nth, sum(exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) + i * ln({risk.risk}e0) + (n - i) * ln(1 - {risk.risk}e0))) AS p FROM (SELECT *, unnest(generate_series(0, k)) AS i FROM p WHERE few) GROUP BY ALL),
+ok AS (SELECT p.*, bool_and(few AND coalesce(t.p, 1) <= {risk.error}e0 / ((SELECT c FROM strata) * {len(RULES)})) OVER (PARTITION BY p.stratum, p.name, p.side ORDER BY p.nth) AS certified, bad - {risk.good_weight}e0 * k AS gain FROM p LEFT JOIN tails t USING (stratum, name, side, nth)),
+best AS (SELECT stratum, name, side, cutoff, label FROM (SELECT *, row_number() OVER (PARTITION BY stratum, name, side ORDER BY gain DESC, nth) AS place FROM ok WHERE certified AND gain > 0) WHERE place = 1),
+gone AS (SELECT s.r, min_by(b.label, b.name || b.side) AS label FROM stat s JOIN best b ON s.stratum = b.stratum AND s.name = b.name AND CASE b.side WHEN '+' THEN s.v > b.cutoff ELSE s.v < b.cutoff END GROUP BY s.r)
+SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND g.label IS NULL AS kept, g.label AS rejected_by
+FROM full_ f LEFT JOIN gone g ON g.r = f.r"""
