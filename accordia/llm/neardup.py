@@ -145,8 +145,11 @@ def banded(reps: DataFrame, setup: Setup) -> DataFrame:
 
 
 def with_elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, elems of the wanted (key, doc_id): texts are joined by id, and an id's rows with another text fall out."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
+    """key, elems of the wanted (key, doc_id): texts are joined by id, and an id's rows with another text fall out.
+
+    The join is the same at every size; the wanted are never broadcast.
+    """
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "doc_id")
 
     def rows(batches):
         for batch in batches:
@@ -286,7 +289,7 @@ def filter_documents(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     Of rows that share the id and represent a class, one stays; rows without an id stay all.
     """
     kept = common.settle(classes(docs, setup).where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     if not kept.where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where(F.col("doc_id").isNull()))
