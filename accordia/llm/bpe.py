@@ -15,7 +15,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Words remembered by a worker at most; then the memo starts anew.
-MEMO = 400_000
+MEMO = 450_000
 #: The splitting patterns of the two kinds of tokenizer files.
 BYTE_LEVEL = regex.compile(public_tokenizers.PATTERN)
 WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")

@@ -80,6 +80,7 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+PAGE = os.sysconf("SC_PAGE_SIZE")
 _fetched: dict[str, str] = {}
 _libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and ctypes.util.find_library("c") else None
 
@@ -158,8 +159,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     trim()
 
 
-def trim() -> None:
-    """Give freed memory back to the system: a worker lives on for other stages."""
-    pa.default_memory_pool().release_unused()
-    if _libc is not None:
+def trim(most_mb: int = 380) -> None:
+    """Give freed memory back to the system once the worker holds that much: it lives on for other stages."""
+    if _libc is None:
+        return
+    with open("/proc/self/statm") as f:
+        held = int(f.read().split()[1]) * PAGE
+    if held > most_mb << 20:
+        pa.default_memory_pool().release_unused()
         _libc.malloc_trim(0)

@@ -29,7 +29,7 @@ def cut(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END, room: in
         chunk, seen = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in common.slices(batch, "text", 2 << 20):
+            for part in common.slices(batch, "text", 3 << 20):
                 raws = [r + end for r in enc.encode_many(part.column("text").to_pylist())]
                 n = np.array([len(r) // 4 for r in raws], np.int64)
                 k = -(-n // room)

@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
             return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "path": [path], "n_docs": [len(keys)], "n_ids": [held]}, schema=pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in batches:
-            for piece in common.slices(batch, "text", 2 << 20):
+            for piece in common.slices(batch, "text", 3 << 20):
                 for key, raw in zip(piece.column("doc_id").to_pylist(), enc.encode_many(piece.column("text").to_pylist()), strict=True):
                     ids += [raw, end]
                     keys.append(key)
