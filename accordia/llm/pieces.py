@@ -32,6 +32,8 @@ MODEL, N_BEST = "piece_bpe_32k.model", 4
 #: Parts remembered by a worker at most; then the memo starts anew. Longer parts than LONG aren't remembered.
 MEMO, LONG = 500_000, 64
 SPACE = "▁"
+#: Characters by which the arcs from a place are remembered.
+AHEAD = 4
 
 Part = tuple[int, int, bytes]
 
@@ -64,6 +66,7 @@ class Pieces:
         self.packed = [i.to_bytes(4, "little") for i in range(n)]
         alone = "".join(c for c in "\n\t" if not any(c in p for p in self.cost))
         self.parts = re.compile(f" +[^ {alone}]*|[{alone}]|[^ {alone}]+" if alone else " +[^ ]*|[^ ]+").findall
+        self.starts: dict[str, tuple[tuple[tuple[int, int], ...], bool]] = {}
         self.memo: dict[str, Part] = {}
         self.lists: dict[str, list[tuple[int, bytes]]] = {}
 
@@ -83,41 +86,53 @@ class Pieces:
 
     def forward(self, s: str) -> tuple[list[int], list[int], list[int]]:
         """Least cost of each node, where the last arc there starts, and how much the second cheapest way there costs."""
-        table, n, far = self.table, len(s), 1 << 60
+        n, far, starts = len(s), 1 << 60, self.starts
         least, second, back = [far] * (n + 1), [far] * (n + 1), [0] * (n + 1)
         least[0] = 0
         for a in range(n):
             f = least[a]
-            b = a + 1
-            try:
-                while True:
-                    got = table[s[a:b]]
-                    if got is not None:
-                        c = f + got[1]
+            got = starts.get(s[a : a + AHEAD]) or self.start(s[a : a + AHEAD])
+            for size, c in got[0]:
+                c += f
+                b = a + size
+                if c < least[b]:
+                    second[b] = least[b]
+                    least[b] = c
+                    back[b] = a
+                elif c < second[b]:
+                    second[b] = c
+            if got[1]:
+                b = a + AHEAD + 1
+                while b <= n and (x := self.table.get(s[a:b], 0)) != 0:
+                    if x:
+                        c = f + x[1]
                         if c < least[b]:
-                            second[b] = least[b]
-                            least[b] = c
-                            back[b] = a
+                            second[b], least[b], back[b] = least[b], c, a
                         elif c < second[b]:
                             second[b] = c
-                    if b == n:
-                        break
                     b += 1
-            except KeyError:
-                pass
-            if s[a] not in self.cost:
-                c = f + self.spell * len(s[a].encode("utf-8", "surrogatepass"))
-                if c < least[a + 1]:
-                    second[a + 1], least[a + 1], back[a + 1] = least[a + 1], c, a
-                elif c < second[a + 1]:
-                    second[a + 1] = c
         return least, back, second
 
+    def start(self, s: str) -> tuple[tuple[tuple[int, int], ...], bool]:
+        """Lengths and costs of the arcs that start with these characters, and whether a longer piece may."""
+        out = [] if s[0] in self.cost else [(1, self.spell * len(s[0].encode("utf-8", "surrogatepass")))]
+        k = 1
+        while k <= len(s) and s[:k] in self.table:
+            if got := self.table[s[:k]]:
+                out.append((k, got[1]))
+            k += 1
+        if len(self.starts) >= MEMO // 4:
+            self.starts.clear()
+        self.starts[s] = tuple(out), k > AHEAD
+        return self.starts[s]
+
     def best(self, s: str) -> Part:
         """Cost and ids of the cheapest segmentation of a part, and how much more the second costs."""
-        if len(s) > 2 and s[-2:] not in self.inner:  # no piece holds both of the last characters
-            (c, more, ids), (d, most, last) = self.known(s[:-1]), self.known(s[-1])
-            return c + d, min(more, most), ids + last
+        inner = self.inner
+        for k in range(len(s) - 1, 0, -1):
+            if s[k - 1 : k + 1] not in inner:  # no piece holds both characters
+                (c, more, ids), (d, most, last) = self.known(s[:k]), self.known(s[k:])
+                return c + d, min(more, most), ids + last
         least, back, second = self.forward(s)
         b, more, ids = len(s), 1 << 60, []
         while b:
