@@ -14,7 +14,7 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-#: Words remembered by a worker at most; then the memo starts anew.
+#: Words remembered by a worker at most, unless it is told otherwise; then the memo starts anew.
 MEMO = 450_000
 #: The splitting patterns of the two kinds of tokenizer files.
 BYTE_LEVEL = regex.compile(public_tokenizers.PATTERN)
@@ -29,7 +29,8 @@ LATIN_WORD_LEVEL = re.compile(rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t
 class Encoder:
     """encode_many(texts): for each, its ids as little-endian unsigned 32-bit integers; null and empty: none."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = MEMO):
+        self.room = room
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.tok.no_padding()
@@ -81,7 +82,7 @@ class Encoder:
         lists = [self.words(t) for t in texts]
         need = set().union(*lists)
         new = need.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
+        if len(self.memo) + len(new) > self.room:
             self.memo.clear()
             new = need
         self.learn(list(new))
@@ -92,8 +93,8 @@ class Encoder:
 _loaded: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker and file. path: a file's path, or a name that public_tokenizers knows."""
+def encoder(path: str, room: int = MEMO) -> Encoder:
+    """One for each worker and file. path: a file's path, or a name that public_tokenizers knows; room: words remembered."""
     if path not in _loaded:
-        _loaded[path] = Encoder(path if "/" in path else str(public_tokenizers.path(path)))
+        _loaded[path] = Encoder(path if "/" in path else str(public_tokenizers.path(path)), room)
     return _loaded[path]

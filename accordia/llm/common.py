@@ -159,7 +159,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     trim()
 
 
-def trim(most_mb: int = 380) -> None:
+def trim(most_mb: int = 450) -> None:
     """Give freed memory back to the system once the worker holds that much: it lives on for other stages."""
     if _libc is None:
         return

@@ -16,6 +16,8 @@ from .bpe import encoder
 TOKENIZER, END = "word_bpe_49k.json", 2
 #: Ids gathered before a file is closed; a longer document makes a longer file.
 FILE_IDS = 2_000_000
+#: Words a worker remembers the ids of.
+WORDS = 800_000
 MANIFEST = "part long, file long, path string, n_docs long, n_ids long"
 
 
@@ -33,7 +35,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
 
     def write(batches):
         part = TaskContext.get().partitionId()
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, WORDS), np.array([end_id], "<u4").tobytes()
         file, ids, keys, lengths, held = 0, [], [], [], 0
 
         def close():
@@ -42,7 +44,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
             return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "path": [path], "n_docs": [len(keys)], "n_ids": [held]}, schema=pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in batches:
-            for piece in common.slices(batch, "text", 3 << 20):
+            for piece in common.slices(batch, "text"):
                 for key, raw in zip(piece.column("doc_id").to_pylist(), enc.encode_many(piece.column("text").to_pylist()), strict=True):
                     ids += [raw, end]
                     keys.append(key)
