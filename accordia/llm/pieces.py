@@ -129,10 +129,10 @@ class Pieces:
     def best(self, s: str) -> Part:
         """Cost and ids of the cheapest segmentation of a part, and how much more the second costs."""
         inner = self.inner
-        for k in range(len(s) - 1, 0, -1):
-            if s[k - 1 : k + 1] not in inner:  # no piece holds both characters
-                (c, more, ids), (d, most, last) = self.known(s[:k]), self.known(s[k:])
-                return c + d, min(more, most), ids + last
+        cuts = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in inner]  # no piece holds both characters
+        if cuts:
+            known = [self.known(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True)]
+            return sum([k[0] for k in known]), min([k[1] for k in known]), b"".join([k[2] for k in known])
         least, back, second = self.forward(s)
         b, more, ids = len(s), 1 << 60, []
         while b:

@@ -39,6 +39,14 @@ def test_heuristic_is_exact(model):
     assert [brute(model, s[:k])[0] for k in range(1, 9)] == least[1:9]
 
 
+@pytest.mark.parametrize("t", ["9" * 100_000, "!" * 100_000, "我们在这里学习语言模型的训练数据处理方法" * 5_000, "東京都に住んでいます。" * 9_000])
+def test_long_parts_without_pieces_across(model, t):
+    got = model.text_n_best(t, 4)
+    costs = [c for c, _ in got]
+    assert costs[0] == model.forward(" " + t)[0][-1] and costs == sorted(costs)
+    assert len({x for _, x in got}) == len(got) and all(model.decode(x) == t for _, x in got)
+
+
 def test_query(spark, sf, local, model):
     got = {r.doc_id: r for r in pieces.op3_sentencepiece_nbest(spark, sf).collect()}
     assert got.keys() == local.keys() and all(r.decoded for r in got.values())
