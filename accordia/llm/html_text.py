@@ -28,6 +28,8 @@ BLOCK = CLOSE_P | frozenset("html body tr tbody thead tfoot caption option optgr
 SPACED = frozenset("blockquote dir dl figure h1 h2 h3 h4 h5 h6 menu ol p pre table ul xmp fieldset".split())
 HIDDEN = frozenset("head script style template title meta link base datalist rp iframe object video audio canvas noembed noframes map param source track area embed frameset".split())
 TABLE_PARTS = {"tr": ("tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",)}
+BETWEEN = frozenset("table tbody thead tfoot tr".split())
+IN_TABLE = frozenset("caption tbody thead tfoot tr td th script style template".split())
 SHOWN_INPUTS = frozenset("text search tel url email number submit reset button date time month week datetime-local".split())
 BULLETS = "•◦▪"
 
@@ -122,21 +124,22 @@ class Tree:
         if self.in_head and s.strip(" \t\n\f\r"):
             self.leave_head()
         top = self.open[-1]
-        if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and s.strip(" \t\n\f\r"):
-            self.before_table().children.append(s)  # text that isn't in a cell stands before its table
+        if top.tag in BETWEEN and s.strip(" \t\n\f\r"):
+            carrier = Node("span", {})
+            carrier.children.append(s)
+            self.before_table(carrier)
             return
         if top.children and isinstance(top.children[-1], str):
             top.children[-1] += s
         else:
             top.children.append(s)
 
-    def before_table(self) -> Node:
+    def before_table(self, node: Node) -> None:
+        """What isn't in a cell stands before its table."""
         k = max(i for i, x in enumerate(self.open) if x.tag == "table")
         parent, table = self.open[k - 1], self.open[k]
-        place = max((i for i, x in enumerate(parent.children) if x is table), default=len(parent.children))
-        carrier = Node("span", {})
-        parent.children.insert(place, carrier)
-        return carrier
+        place = next((i for i in range(len(parent.children) - 1, -1, -1) if parent.children[i] is table), len(parent.children))
+        parent.children.insert(place, node)
 
     def leave_head(self) -> None:
         self.in_head = False
@@ -177,6 +180,11 @@ class Tree:
                 return
             if len(self.open) == 2 or self.open[-1].tag == "noscript":
                 self.leave_head()
+        if self.open[-1].tag in BETWEEN:
+            if tag == "form":
+                return  # a form between cells holds nothing; its fields stand before the table
+            if tag == "table":
+                self.close(("table",), ())
         if tag in CLOSE_P:
             self.close(("p",), SCOPE)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
@@ -202,7 +210,10 @@ class Tree:
             if tag in ("colgroup", "col"):
                 return
         node = Node(tag, attrs)
-        self.open[-1].children.append(node)
+        if self.open[-1].tag in BETWEEN and tag not in IN_TABLE:
+            self.before_table(node)
+        else:
+            self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
 
@@ -213,10 +224,8 @@ class Tree:
             self.close(("tr",), stop)
         if tag in ("tbody", "thead", "tfoot", "caption", "colgroup", "col"):
             self.close(("tbody", "thead", "tfoot"), stop)
-        if self.open[-1].tag not in ("table", "tbody", "thead", "tfoot", "tr"):
-            self.close(("p",), stop)
-            k = max(i for i, x in enumerate(self.open) if x.tag == "table")
-            del self.open[k + 1 :]
+        while self.open[-1].tag not in BETWEEN:
+            self.open.pop()
         if tag in ("td", "th") and self.open[-1].tag != "tr":
             if self.open[-1].tag == "table":
                 self.imply("tbody")

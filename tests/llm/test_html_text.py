@@ -35,6 +35,24 @@ def test_layout(page, text):
     assert render(page)[0] == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td>a</td></tr><p>note</p></table>", "note\n\na"),
+        ("<table><tr><td>a</td></tr><b>Total</b></table>", "Total\n\na"),
+        ("<table><tbody><div>text</div><tr><td>a</table>z", "text\n\na\n\nz"),
+        ("<table><tr><td>a</td></tr><form>Name <input value=v></form><tr><td>b</table>", "Name v\n\na\nb"),
+        ("<table><tbody><tr><td>a<thead><i>x</i><tr><th>h</table>", "x\n\nh\na"),
+        ("<table><tr><td>a</td><form><td>b</td></form></tr></table>", "a  b"),
+        ("<table><tr><td>a</td><i>n<td>b</table>", "n\n\na  b"),
+        ("<table><tbody><table><tr><td>x</table>", "x"),
+        ("p<table><tr><td>a<table><tr><td>in</td></tr><b>n</b></table></table>", "p\n\nan\n\nin"),
+    ],
+)
+def test_between_rows(page, text):
+    assert render(page)[0] == text
+
+
 @pytest.mark.parametrize("page", ["<" * 3000, "<div>" * 5000 + "x", "<table>" * 3000 + "y", "<a href='" * 2000, "<!--", "<tr><td>" * 500, "<li>" * 4000 + "z", "<table><tr>" * 400 + "q", "<b " + "'" * 5000, "<svg><title>", "<p" * 900, "<table><td colspan=99999 rowspan=0>x<td>y", "\x00<\x00>"])
 def test_any_text_renders(page):
     render(page)
