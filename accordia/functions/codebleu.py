@@ -15,21 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def _overlap(a: list[str], b: list[str], n: int, weight=lambda g: 1.0) -> tuple[float, float]:
-    x, y = Counter(zip(*(a[i:] for i in range(n)), strict=False)), Counter(zip(*(b[i:] for i in range(n)), strict=False))
-    return sum(min(c, y[g]) * weight(g) for g, c in x.items()), max(sum(c * weight(g) for g, c in x.items()), 1.0 if not x else 1e-12)
-
-
-def _bleu(a: list[str], b: list[str], weighted: bool) -> float:
-    if not a or not b:
-        return 0.0
-    logs = 0.0
-    for n in range(1, 5):
-        hit, of = _overlap(a, b, n, (lambda g: 1.0 if keyword.iskeyword(g[0]) else 0.2) if weighted and n == 1 else lambda g: 1.0)
-        if n == 1 and not hit:
-            return 0.0
-        logs += math.log((hit or 0.1) / of) / 4
-    return math.exp(logs) * (1.0 if len(a) > len(b) else math.exp(1 - len(b) / len(a)))
+def _weight(g: tuple[str, ...]) -> float:
+    return 1.0 if keyword.iskeyword(g[0]) else 0.2
 
 
 def _trees(node: ast.AST, out: Counter) -> str:
@@ -56,20 +43,71 @@ def _share(a: Counter, b: Counter) -> float:
     return sum((a & b).values()) / max(1, sum(a.values())) if a else 1.0 if not b else 0.0
 
 
+class Side:
+    """What a text is compared by: n-gram counts, and tree and data-flow counts where it is Python code that parses."""
+
+    __slots__ = ("size", "grams", "total", "weighted", "trees", "flow")
+
+    def __init__(self, text: str, lang: str = "python"):
+        words = text.split()
+        self.size = len(words)
+        self.grams = [Counter(zip(*(words[i:] for i in range(n)), strict=False)) for n in range(1, 5)]
+        self.total = [float(max(sum(x.values()), 1)) for x in self.grams]
+        self.weighted = sum(c * _weight(g) for g, c in self.grams[0].items())
+        self.trees = self.flow = None
+        if lang == "python":
+            try:
+                tree, trees = ast.parse(text), Counter()
+                _trees(tree, trees)
+                self.trees, self.flow = trees, _flow(tree)
+            except (SyntaxError, ValueError, RecursionError):
+                self.trees = None
+
+
+def _bleus(a: Side, b: Side) -> list[float]:
+    """Of all words alike, and with keywords weighted."""
+    first = [(min(c, y), g) for g, c in a.grams[0].items() if (y := b.grams[0].get(g))]
+    if not first:
+        return [0.0, 0.0]
+    more = []
+    for x, y, of in zip(a.grams[1:], b.grams[1:], a.total[1:], strict=True):
+        hit = sum([min(c, y[g]) for g, c in x.items() if g in y])
+        more.append(math.log((hit or 0.1) / of) / 4)
+    short = 1.0 if a.size > b.size else math.exp(1 - b.size / a.size)
+    out = []
+    for hit, of in ((sum([c for c, _ in first]), a.total[0]), (sum([c * _weight(g) for c, g in first]), a.weighted)):
+        logs = math.log(hit / of) / 4
+        for x in more:
+            logs += x
+        out.append(math.exp(logs) * short)
+    return out
+
+
+def _score(a: Side, b: Side) -> float:
+    parts = _bleus(a, b)
+    if a.trees is not None and b.trees is not None:
+        parts += [_share(b.trees, a.trees), _share(b.flow, a.flow)]
+    return sum(parts) / len(parts)
+
+
 def score(a: str, b: str, lang: str = "python") -> float:
     """Of a against the reference b."""
-    x, y = a.split(), b.split()
-    parts = [_bleu(x, y, False), _bleu(x, y, True)]
-    if lang == "python":
-        try:
-            p, q = ast.parse(a), ast.parse(b)
-            s, t = Counter(), Counter()
-            _trees(p, s)
-            _trees(q, t)
-            parts += [_share(t, s), _share(_flow(q), _flow(p))]
-        except (SyntaxError, ValueError, RecursionError):
-            pass
-    return sum(parts) / len(parts)
+    return _score(Side(a, lang), Side(b, lang))
+
+
+def pairs(texts: list[str | None], lang: str) -> list[tuple[int, int, float]]:
+    """Places and symmetric score of all pairs of texts; each distinct text is taken apart once, each distinct pair scored once."""
+    texts = [x or "" for x in texts]
+    sides = {x: Side(x, lang) for x in set(texts)}
+    known: dict[tuple[str, str], float] = {}
+    out = []
+    for j, y in enumerate(texts):
+        for i, x in enumerate(texts[:j]):
+            if (s := known.get((x, y))) is None:
+                s = (_score(sides[x], sides[y]) + _score(sides[y], sides[x])) / 2 if x.strip() and y.strip() else float(x.strip() == y.strip())
+                known[x, y] = known[y, x] = s
+            out.append((i, j, s))
+    return out
 
 
 @F.udf(DoubleType(), useArrow=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,9 +208,16 @@ def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_codebleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _candidates(spark, sf_dir).where("t IN (0, 5, 10)").select("issue", "t", "added")
-    a, b = c.select("issue", F.col("t").alias("i"), F.col("added").alias("x")), c.select("issue", F.col("t").alias("j"), F.col("added").alias("y"))
-    return a.join(b, "issue").where("i < j").select("issue", "i", "j", F.round(codebleu.symmetric("x", "y", F.lit("python")), 6).alias("codebleu"))
+    """All pairs of an issue's candidates."""
+    c = _candidates(spark, sf_dir).where("issue IS NOT NULL").select("issue", "t", "added")
+
+    def score(rows: pa.Table) -> pa.Table:
+        ts, issue = rows.column("t").to_pylist(), rows.column("issue")[0]
+        out = [(min(ts[i], ts[j]), max(ts[i], ts[j]), s) for i, j, s in codebleu.pairs(rows.column("added").to_pylist(), "python") if ts[i] != ts[j]]
+        return pa.table({"issue": pa.array([issue.as_py()] * len(out), issue.type), "i": pa.array([x[0] for x in out], pa.int32()), "j": pa.array([x[1] for x in out], pa.int32()), "codebleu": pa.array([x[2] for x in out], pa.float64())})
+
+    scored = c.groupBy("issue").applyInArrow(score, f"issue {c.schema['issue'].dataType.simpleString()}, i int, j int, codebleu double")
+    return scored.select("issue", "i", "j", F.round("codebleu", 6).alias("codebleu"))
 
 
 def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,18 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_codebleu_of_all_pairs(spark, sf):
+    from accordia.functions import codebleu
+    from accordia.plans import facts
+
+    added = {(r.issue, r.t): r.added for r in facts.tables(spark, sf, "candidate")["candidate"].collect()}
+    got = {(r.issue, r.i, r.j): r.codebleu for r in QUERIES["codebleu_pairs"](spark, sf).collect()}
+    assert got.keys() == {(issue, i, j) for issue, j in added for i in range(j)}
+    for issue, i, j in sorted(got)[:600]:
+        a, b = added[issue, i], added[issue, j]
+        assert abs(got[issue, i, j] - (codebleu.score(a, b) + codebleu.score(b, a)) / 2) < 1e-6
+
+
 def test_components_against_search(spark, sf):
     from accordia.plans import facts
 
