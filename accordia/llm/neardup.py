@@ -13,13 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .common import mix
 
 WORDS = 5
+#: Keys with more than one part in HOT of all rows are joined apart from the rest: there are never more than HOT of them, so these are broadcast.
+HOT = 2000
+#: Bits of the largest filter of row hashes (32 MB); beyond, it lets more rows through and the exact join decides.
+FILTER_BITS = 1 << 28
 
 
 @dataclass(frozen=True)
@@ -115,51 +119,72 @@ def keys(sets: list[np.ndarray]) -> list[bytes]:
     return [hashlib.blake2b(e.astype("<u8").tobytes(), digest_size=16).digest() for e in sets]
 
 
-def signed(docs: DataFrame, setup: Setup) -> DataFrame:
-    """doc_id, key, sig of each row. Null and empty texts have the empty multiset."""
+def row_hashes(columns: list[Column]) -> list[Column]:
+    """Two 64-bit hashes (w, w2) of a row by these columns, nulls told apart; equal rows have equal ones."""
+    parts = [x for c in columns for x in (c, c.isNull())]
+    return [F.xxhash64(*parts).alias("w"), F.xxhash64(F.lit(2), *reversed(parts)).alias("w2")]
+
+
+def signed(docs: DataFrame, setup: Setup, by: list[Column]) -> DataFrame:
+    """doc_id, w, w2, key, sig of each row. Null and empty texts have the empty multiset."""
 
     def rows(batches):
         for batch in batches:
             for part in common.slices(batch, "text", 2 << 20):
                 d, s, c = shingles(part.column("text"))
                 sig = signatures(d, s, c, part.num_rows, setup.slots)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "key": pa.array(keys(elements(d, s, c, part.num_rows)), pa.binary()), "sig": pa.array([x.tobytes() for x in sig], pa.binary())})
+                own = {n: part.column(n) for n in ("doc_id", "w", "w2")}
+                yield pa.RecordBatch.from_pydict(own | {"key": pa.array(keys(elements(d, s, c, part.num_rows)), pa.binary()), "sig": pa.array([x.tobytes() for x in sig], pa.binary())})
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(rows, "doc_id long, key binary, sig binary")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_hashes(by))
+    return src.mapInArrow(rows, "doc_id long, w long, w2 long, key binary, sig binary")
 
 
 def banded(reps: DataFrame, setup: Setup) -> DataFrame:
     """key, band, bucket: one row for each band of each distinct signature."""
+    size = 4 * setup.rows
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(setup.bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring("sig", b * size + 1, F.lit(size))).alias("bucket")))
+    return reps.select("key", F.inline(buckets))
 
-    def rows(batches):
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, setup.bands, setup.rows).astype(np.uint64)
-            h = np.zeros(sig.shape[:2], np.uint64) + mix(np.arange(setup.bands).astype(np.uint64))
-            for k in range(setup.rows):
-                h = mix(h ^ sig[:, :, k])
-            n = len(sig)
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(pa.array(np.repeat(np.arange(n), setup.bands))), "band": pa.array(np.tile(np.arange(setup.bands, dtype=np.int32), n)), "bucket": pa.array(h.view(np.int64).reshape(-1))})
 
-    return reps.select("key", "sig").mapInArrow(rows, "key binary, band int, bucket long")
+def joined(rows: DataFrame, info: DataFrame, by: list[str], total: int, n: str) -> DataFrame:
+    """The rows (total in all) with the info of their key. info has each key once, with its number of rows as column n.
+
+    Hot keys' rows stay where they are; a key of the others has at most one part in HOT of all rows.
+    """
+    most = max(64, total // HOT)
+    heavy = info.where(F.col(n) > most).drop(n)
+    there = rows.join(F.broadcast(heavy), by)
+    rest = rows.join(F.broadcast(heavy.select(*by)), by, "left_anti").join(info.where(F.col(n) <= most).drop(n), by)
+    return there.unionByName(rest)
 
 
-def with_elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, elems of the wanted (key, doc_id): texts are joined by id, and an id's rows with another text fall out.
+def found_in(rows: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+    """Add hit, by a filter of the `count` wanted rows' hashes w: a row without it isn't wanted, one with it may be.
 
-    The join is the same at every size; the wanted are never broadcast.
+    The filter is a bitmap of 16 bits a wanted row, FILTER_BITS at most, made and read by the JVM.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "doc_id")
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * max(count, 1) - 1).bit_length()))
+    place = F.pmod("w", F.lit(bits)) + 1
+    maps = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    return rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket", "left").withColumn("hit", hit).drop("_bucket", "_bits")
+
+
+def with_elements(docs: DataFrame, wanted: DataFrame, by: list[Column]) -> DataFrame:
+    """key, elems of the wanted (key, w, w2): only rows that the filter lets through leave their place."""
+    src = found_in(docs.select(F.col("text").cast("string").alias("text"), *row_hashes(by)), wanted, wanted.count()).where("hit")
+    src = src.groupBy("w", "w2").agg(F.first("text").alias("text")).join(wanted, ["w", "w2"])
 
     def rows(batches):
         for batch in batches:
             for part in common.slices(batch, "text", 2 << 20):
                 sets = elements(*shingles(part.column("text")), part.num_rows)
-                same = [a == b for a, b in zip(keys(sets), part.column("key").to_pylist(), strict=True)]
-                got = pa.RecordBatch.from_pydict({"key": part.column("key"), "elems": pa.array([e.astype("<u8").tobytes() for e in sets], pa.binary())})
-                yield got.filter(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "elems": pa.array([e.astype("<u8").tobytes() for e in sets], pa.binary())})
 
-    return src.select("text", "key").mapInArrow(rows, "key binary, elems binary").dropDuplicates(["key"])
+    return src.select("text", "key").mapInArrow(rows, "key binary, elems binary")
 
 
 def linked(comp: list, sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -209,11 +234,11 @@ def links(tasks: DataFrame, data: DataFrame, setup: Setup) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """key, comp (the least key of its component) by alternating large and small stars; rows stay in the cluster."""
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         if large:
-            e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        got = e.join(least, "a")
+            e, total = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * total
+        least = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        got = joined(e, least, ["a"], total, "n")
         if large:
             return got.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         pairs = got.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(got.select("a", F.col("m").alias("b")))
@@ -226,37 +251,31 @@ def components(edges: DataFrame) -> DataFrame:
         if not now.n or now == was:
             return e.select(F.col("a").alias("key"), F.col("b").alias("comp"))
         was = now
-        e = common.settle(star(star(e, True), False), "edges")
+        wide = common.settle(star(e, True, now.n), "edges")
+        e = common.settle(star(wide, False, wide.count()), "edges")
 
 
 def with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
 
-def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
-    """doc_id, class_id for every row of docs; class_id is the least doc_id of its class.
-
-    Documents of the same shingles are one vertex from the start, so that thousands of copies cost as much as one.
-    Those without words are copies of each other. Rows that share an id are placed each by its text; a class of which
-    no row has an id has a null class_id. Round one looks within blocks of a bucket for a few bands; round two compares,
-    in every bucket of every band that still has several components, all of them with each other, except for the
-    largest with itself. Blocks bound what a task holds. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    rows = common.settle(signed(docs, setup), "signed")
-    reps = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
-    reps = common.settle(reps, "reps")
+def grouped(docs: DataFrame, setup: Setup, by: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, w, w2, key) and, for each key, n rows and its class: class_id, and rep, the row that stands for it."""
+    rows = common.settle(signed(docs, setup, by), "signed")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "w", "w2"))
+    reps = common.settle(rows.groupBy("key").agg(least.alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")), "reps")
     bands = banded(reps, setup)
-    shared = bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    cand = common.settle(bands.join(shared, ["band", "bucket"]), "bands")
-    wanted = cand.select("key").distinct().join(reps, "key")
-    # of a vertex whose rows have no id, the text can't be fetched; it keeps the rows of its own key
-    data = common.settle(with_elements(docs, wanted.select("key", "doc_id")).join(reps.select("key", "sig"), "key").withColumn("size", F.length("elems") / 8), "elements")
-    sized = cand.join(data.select("key", "size"), "key")
+    shared = common.settle(bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    cand = common.settle(joined(bands, shared, ["band", "bucket"], total, "n"), "bands")
+    wanted = common.settle(cand.select("key").distinct().join(reps, "key").select("key", "rep.w", "rep.w2"), "wanted")
+    data = common.settle(with_elements(docs, wanted, by).join(reps.select("key", "sig"), "key").withColumn("size", F.length("elems") / 8), "elements")
+    sized = common.settle(cand.join(data.select("key", "size"), "key"), "sized")
     # round one: blocks of a bucket, dealt anew for each band
-    heavy = sized.where(F.col("band") < setup.early).groupBy("band", "bucket").agg(F.count("*").alias("rows"), F.sum("size").alias("weight"))
+    early = sized.where(F.col("band") < setup.early)
+    heavy = early.groupBy("band", "bucket").agg(F.count("*").alias("rows"), F.sum("size").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("rows") / setup.block), F.ceil(F.col("weight") / setup.block_elements), F.lit(1)).cast("int")
-    first = sized.join(heavy.select("band", "bucket", blocks.alias("blocks")), ["band", "bucket"])
+    first = joined(early, common.settle(heavy.select("band", "bucket", "rows", blocks.alias("blocks")), "blocks"), ["band", "bucket"], total, "rows")
     first = first.select(F.struct("band", "bucket", F.pmod(F.xxhash64("key", "band"), F.col("blocks")).cast("int").alias("i"), F.lit(0).alias("j")).alias("task"), "key", F.col("key").alias("comp"), F.lit(True).alias("left"), F.lit(True).alias("right"))
     found = common.settle(links(first, data.drop("size"), setup), "links")
     comps = components(found)
@@ -265,11 +284,11 @@ def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     per = now.groupBy("band", "bucket", "comp").agg(F.count("*").alias("rows"), F.sum("size").alias("weight"))
     mixed = per.groupBy("band", "bucket").agg(F.count("*").alias("comps"), F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.max(F.struct("rows", "weight", "comp")).alias("top")).where(F.col("comps") > 1)
     deal = mixed.select(
-        "band", "bucket", F.col("top.comp").alias("top"),
+        "band", "bucket", "rows", F.col("top.comp").alias("top"),
         F.greatest(F.ceil(F.col("rows") / setup.block), F.ceil(F.col("weight") / setup.block_elements), F.lit(1)).cast("int").alias("nj"),
         F.greatest(F.ceil((F.col("rows") - F.col("top.rows")) / setup.block), F.ceil((F.col("weight") - F.col("top.weight")) / setup.block_elements), F.lit(1)).cast("int").alias("ni"),
     )
-    own = now.join(deal, ["band", "bucket"]).withColumn("h", F.xxhash64("key"))
+    own = joined(now, common.settle(deal, "deal"), ["band", "bucket"], total, "rows").withColumn("h", F.xxhash64("key"))
     i, j = F.pmod("h", "ni").cast("int"), F.pmod("h", "nj").cast("int")
     as_right = own.select("*", j.alias("j"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.lit(False).alias("left"), F.lit(True).alias("right"))
     as_left = own.where(F.col("comp") != F.col("top")).select("*", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
@@ -278,21 +297,47 @@ def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     final = comps
     if not more.isEmpty():
         final = components(found.unionByName(more))
-    whole = with_components(reps.select("key", "doc_id"), final)
-    ids = whole.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    return rows.select("doc_id", "key").join(whole.select("key", "comp").join(ids, "comp").select("key", "class_id"), "key").select("doc_id", "class_id")
+    whole = common.settle(with_components(reps.select("key", "rep", "n"), final), "whole")
+    ids = common.settle(whole.groupBy("comp").agg(F.min("rep").alias("rep"), F.count("*").alias("keys")), "classes")
+    # of classes with the same least id, one is named by it
+    owner = ids.where("rep.doc_id IS NOT NULL").groupBy(F.col("rep.doc_id").alias("class_id")).agg(F.min("comp").alias("comp"))
+    name = F.coalesce("class_id", -1 - F.pmod(F.xxhash64("comp"), F.lit(1 << 62)))
+    named = ids.join(owner, "comp", "left").select("comp", "keys", "rep", name.alias("class_id"))
+    return rows.drop("sig"), common.settle(joined(whole.drop("rep"), common.settle(named, "named"), ["comp"], whole.count(), "keys"), "keys")
+
+
+def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
+    """doc_id, class_id for every row of docs; class_id is the least doc_id of its class.
+
+    A class without an id, and each but one of several classes with the same least id, has a negative number made from
+    its texts instead, so that no two classes share a name. Documents of the same shingles are one vertex from the
+    start, so that thousands of copies cost as much as one. Those without words are copies of each other. Rows that
+    share an id, or have none, are placed each by its text. Round one looks within blocks of a bucket for a few bands; round two compares,
+    in every bucket of every band that still has several components, all of them with each other, except for the
+    largest with itself. Blocks bound what a task holds, and no join deals a hot bucket, component or text to one task.
+    An empty table gives no rows; other columns aren't read.
+    """
+    rows, keys = grouped(docs, setup, [F.col("doc_id"), F.col("text")])
+    return joined(rows.select("doc_id", "key"), keys.select("key", "n", "class_id"), ["key"], rows.count(), "n").select("doc_id", "class_id")
 
 
 def filter_documents(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
-    """The rows of docs, with their columns, that represent their class: one document of each, that of the least id.
+    """The rows of docs, with their columns, that represent their class: one row of each, of the least id (rows without
+    one come last, and of rows with the same id the one with the least hash).
 
-    Of rows that share the id and represent a class, one stays; rows without an id stay all.
+    Rows that are equal in all columns are one. Rows that stay don't leave their place, but for those that the filter of
+    row hashes takes for one that goes. An empty table gives no rows.
     """
-    kept = common.settle(classes(docs, setup).where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where(F.col("doc_id").isNull()))
+    by = [F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.simpleString().startswith(("map", "variant"))]
+    rows, keys = grouped(docs, setup, by)
+    named = keys.select("key", "n", F.col("rep.w").alias("rw"), F.col("rep.w2").alias("rw2"))
+    stays = (F.col("w") == F.col("rw")) & (F.col("w2") == F.col("rw2"))
+    placed = common.settle(joined(rows.select("key", "w", "w2"), named, ["key"], rows.count(), "n").groupBy("w", "w2").agg(F.max(stays).alias("stays"), F.count("*").alias("n")), "placed")
+    # rows that go, and rows that occur more than once
+    doubtful = placed.where("NOT stays OR n > 1")
+    src = found_in(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), *row_hashes(by)), doubtful, doubtful.count())
+    seen = src.where("hit").groupBy("w", "w2").agg(F.first("row").alias("row")).join(placed.where("NOT stays").select("w", "w2"), ["w", "w2"], "left_anti")
+    return src.where("NOT hit").select("row.*").unionByName(seen.select("row.*"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

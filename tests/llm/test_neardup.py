@@ -79,8 +79,42 @@ def test_odd_rows(spark, odd, empty):
     got = neardup.classes(odd).collect()
     assert len(got) == odd.count()
     by = Counter((r.doc_id, r.class_id) for r in got)
-    assert by[1, 1] == 2 and by[3, 2] == by[2, 2] == by[5, 2] == 1 and by[None, 2] == 1 and by[7, 7] == 2
+    assert by[1, 1] == 2 and by[3, 2] == by[2, 2] == by[5, 2] == 1 and by[None, 2] == 1 and by[7, 7] == 1
+    named = {(r.doc_id, r.class_id) for r in got if r.class_id < 0}
+    assert sorted(str(i) for i, _ in named) == ["7", "None"] and len({c for _, c in named}) == 2
     assert neardup.classes(empty).count() == 0 and neardup.filter_documents(empty).count() == 0
     kept = neardup.filter_documents(odd)
     assert kept.columns == odd.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 4, 6, 7, None, None])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 4, 6, 7, 7, None])
+
+
+def test_shared_and_missing_ids(spark):
+    """Rows are told apart by their texts, whatever their ids; of each class one row stays, of equal rows one."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    near = a.replace("a29", "z")
+    rows = [(7, a), (7, c), (9, c), (3, b), (7, b), (None, near), (None, "d e f"), (None, "d e f"), (None, "g h i"), (7, a)]
+    docs = spark.createDataFrame([(*r, "x", {"k": 1}) for r in rows], "doc_id long, text string, w string, hit map<string,int>").repartition(4)
+    got = neardup.classes(docs).collect()
+    assert len(got) == len(rows) and len({r.class_id for r in got}) == 5
+    kept = Counter((r.doc_id, r.text) for r in neardup.filter_documents(docs).collect())
+    assert kept == Counter([(7, a), (7, c), (3, b), (None, "d e f"), (None, "g h i")])
+
+
+def test_one_hot_text_and_one_hot_bucket(spark, monkeypatch):
+    """Joins that take every key of more than a few rows for a hot one give the same classes."""
+    rng = np.random.default_rng(7)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base)) for k in range(300)]
+    rows += [(1000 + k, " ".join([*base[: k % 50], f"n{k}", *base[k % 50 + 1 :]])) for k in range(200)]
+    rows += [(2000 + k, " ".join(f"v{x}" for x in rng.integers(0, 10**6, 40))) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(neardup, "HOT", 10**9)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs, neardup.Setup(block=50)).collect()}
+    assert got == {i: (0 if i < 2000 else i) for i, _ in rows}
+
+
+def test_filter_lets_the_wanted_through(spark):
+    rows = spark.range(5000).selectExpr("xxhash64(id) AS w", "id % 7 = 0 AS want")
+    got = neardup.found_in(rows, rows.where("want"), rows.where("want").count()).groupBy("want", "hit").count().collect()
+    by = {(r.want, r.hit): r["count"] for r in got}
+    assert by[True, True] == 715 and (True, False) not in by and by.get((False, True), 0) < 500
