@@ -147,6 +147,32 @@ def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, p
     return np.asarray(owner).astype(np.int64), np.asarray(coded.indices).astype(np.int64), coded.dictionary
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts (null: empty), one after another, and where each starts, with the end."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8) if len(texts) else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Of the strings between consecutive cuts of UTF-8 bytes, each one's code, and the distinct strings by code."""
+    if len(cuts) < 2:
+        return np.zeros(0, np.int64), []
+    raw, cuts = np.ascontiguousarray(raw), np.ascontiguousarray(cuts, np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size], one after another."""
+    at = np.repeat(start - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """The batch in runs of rows whose texts have about `most` bytes together; one longer text is a run of its own."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)

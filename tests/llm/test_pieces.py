@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from accordia.llm import pieces
@@ -47,6 +48,24 @@ def test_long_parts_without_pieces_across(model, t):
     assert len({x for _, x in got}) == len(got) and all(model.decode(x) == t for _, x in got)
 
 
+def test_side_by_side_is_one_by_one(model):
+    """Forward passes in arrays give each part's own cost, ids and slack."""
+    rnd = random.Random(8)
+    parts = list({"".join(rnd.choice("theins.a é我\U0001f600▁９!'0") for _ in range(rnd.randint(1, 40))) for _ in range(3000)})
+    model.memo.clear()
+    assert model.bulk(parts) == [model.best(s) for s in parts]
+
+
+def test_batches_are_texts(model):
+    """A batch's rows are what each text gives by itself."""
+    rnd = random.Random(9)
+    texts = [None, "", " ", "\n", "x" * 3000, *("".join(rnd.choice(["the ", "in", " ", "  ", "a", "é", "\n", "\U0001f600", "▁", "ing", "\t", "s."]) for _ in range(rnd.randint(0, 60))) for _ in range(300))]
+    got = pieces.encoded(model, pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)}), 4).to_pylist()
+    for t, r in zip(texts, got, strict=True):
+        best = model.text_n_best(t, 4)
+        assert r["decoded"] and r["ids"] == best[0][1] and r["nbest_costs"] == [c for c, _ in best] and r["nbest_crc32"] == [zlib.crc32(x) for _, x in best]
+
+
 def test_query(spark, sf, local, model):
     got = {r.doc_id: r for r in pieces.op3_sentencepiece_nbest(spark, sf).collect()}
     assert got.keys() == local.keys() and all(r.decoded for r in got.values())
