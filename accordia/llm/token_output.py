@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, pfor
-from .bpe import encoder
+from .bpe import encoder, with_ends
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 #: Ids gathered before a file is closed; a longer document makes a longer file.
@@ -35,21 +35,26 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
 
     def write(batches):
         part = TaskContext.get().partitionId()
-        enc, end = encoder(tokenizer, WORDS), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer, WORDS)
         file, ids, keys, lengths, held = 0, [], [], [], 0
 
         def close():
             path = f"{folder}/part-{part:06d}-{file:06d}.pfb"
-            common.write_file(path, pfor.pack_file(np.frombuffer(b"".join(ids), "<u4"), keys, np.array(lengths, np.int64)))
+            common.write_file(path, pfor.pack_file(np.concatenate(ids), keys, np.array(lengths, np.int64)))
             return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "path": [path], "n_docs": [len(keys)], "n_ids": [held]}, schema=pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in batches:
             for piece in common.slices(batch, "text"):
-                for key, raw in zip(piece.column("doc_id").to_pylist(), enc.encode_many(piece.column("text").to_pylist()), strict=True):
-                    ids += [raw, end]
-                    keys.append(key)
-                    lengths.append(len(raw) // 4 + 1)
-                    held += lengths[-1]
+                got, n = with_ends(*enc.encode(piece.column("text")), end_id)
+                own, ends, a, done = piece.column("doc_id").to_pylist(), np.cumsum(n), 0, 0
+                while a < len(n):
+                    # as many documents as fill the file
+                    b = min(int(np.searchsorted(ends, done + file_ids - held)) + 1, len(n))
+                    ids.append(got[done : ends[b - 1]])
+                    keys += own[a:b]
+                    lengths += n[a:b].tolist()
+                    held += int(ends[b - 1]) - done
+                    a, done = b, int(ends[b - 1])
                     if held >= file_ids:
                         yield close()
                         file, ids, keys, lengths, held = file + 1, [], [], [], 0

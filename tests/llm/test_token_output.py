@@ -14,7 +14,7 @@ ALPHABET = ["a", "B", " ", "  ", "\n", ".", ",", "'s", "1", "é", "\t", "́", "#
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_memo_changes_no_id(name):
     e, rnd = encoder(name), random.Random(2)
-    texts = ["", " ", None, "it's  ok ", *("".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(1, 14))) for _ in range(1500))]
+    texts = ["", " ", None, "it's  ok ", "we'll 'sabc ''s !'s\n's  's l'été 'ré ÉÀß×÷ d'12'34\t 'll", "\0 a\0b", "x" * 100_000, *("".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(1, 14))) for _ in range(1500)), *("".join(rnd.choice(ALPHABET[:13]) for _ in range(rnd.randint(1, 30))) for _ in range(1500))]
     assert e.encode_many(texts) == [e.whole(x or "") for x in texts]
 
 
