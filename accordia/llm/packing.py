@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import encoder
+from .bpe import encoder, with_ends
 
 TOKENIZER, END, ROOM = "byte_bpe_50k.json", 0, 2048
+#: Runs of the plan that are sent to every task, at most; more are joined by blocks of ranks.
+SENT = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, local long"
 
 
@@ -27,18 +29,18 @@ def cut(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END, room: in
 
     def pieces(batches):
         chunk, seen = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer)
         for batch in batches:
             for part in common.slices(batch, "text", 3 << 20):
-                raws = [r + end for r in enc.encode_many(part.column("text").to_pylist())]
-                n = np.array([len(r) // 4 for r in raws], np.int64)
+                ids, n = with_ends(*enc.encode(part.column("text")), end_id)
+                raw, base = memoryview(ids.tobytes()), np.cumsum(n) - n
                 k = -(-n // room)
                 of = np.repeat(np.arange(len(n)), k)
                 piece = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
                 first = n - room * (k - 1)
                 start = np.where(piece == 0, 0, first[of] + room * (piece - 1))
                 length = np.where(piece == 0, first[of], room)
-                crc = [zlib.crc32(raws[d][4 * s : 4 * (s + m)]) for d, s, m in zip(of.tolist(), start.tolist(), length.tolist(), strict=True)]
+                crc = [zlib.crc32(raw[4 * s : 4 * (s + m)]) for s, m in zip((base[of] + start).tolist(), length.tolist(), strict=True)]
                 order = np.argsort(length, kind="stable")
                 by = length[order]
                 new = np.flatnonzero(np.diff(by, prepend=-1))
@@ -102,8 +104,9 @@ def plan(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, int, in
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END, room: int = ROOM) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Only the histogram (at most `room` rows) reaches the driver. Ranks within a length come from counts by task, so a
-    length that a third of all pieces share needs no task of its own. An empty table gives no rows.
+    Only the histogram (at most `room` rows) reaches the driver. Ranks within a length come from counts by task, and the
+    plan's runs go to the pieces (by blocks of ranks if there are more than SENT), so a length that a third of all
+    pieces share needs no task of its own. An empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = common.settle(cut(docs, tokenizer, end_id, room), "pieces")
@@ -111,12 +114,18 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END, room: i
     before = F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")
     bases = counts.select("length", "chunk", before.alias("before"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = spark.createDataFrame(plan(histogram, room), "length long, first long, count long, sequence long, at long, per long")
+    planned = plan(histogram, room)
+    runs = spark.createDataFrame(planned, "length long, first long, count long, sequence long, at long, per long")
     ranked = pieces.join(bases, ["length", "chunk"]).withColumn("rank", F.col("local") + F.col("before"))
-    # the runs are many times fewer than the pieces; Spark broadcasts them as long as they are small
-    hit = (ranked["length"] == runs["length"]) & (ranked["rank"] >= runs["first"]) & (ranked["rank"] < runs["first"] + runs["count"])
+    inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count"))
+    if len(planned) <= SENT:
+        placed = ranked.join(F.broadcast(runs), "length").where(inside)
+    else:
+        size = max(1, sum(histogram.values()) // 2000)
+        blocks = F.explode(F.sequence(F.floor(F.col("first") / size), F.floor((F.col("first") + F.col("count") - 1) / size)))
+        placed = ranked.withColumn("block", F.floor(F.col("rank") / size)).join(runs.withColumn("block", blocks), ["length", "block"]).where(inside)
     nth = F.col("rank") - F.col("first")
-    return ranked.join(runs, hit).select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("sequence") + F.floor(nth / F.col("per"))).cast("long").alias("sequence_id"), (F.col("at") + nth % F.col("per") * ranked["length"]).cast("long").alias("offset"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.floor(nth / F.col("per"))).cast("long").alias("sequence_id"), (F.col("at") + nth % F.col("per") * F.col("length")).cast("long").alias("offset"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

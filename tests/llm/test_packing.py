@@ -64,6 +64,14 @@ def test_query(spark, sf, local):
     assert check(rows) <= -(-sum(v[1] for v in want.values()) // packing.ROOM) * 1.02 + 1
 
 
+def test_plan_too_large_to_send(spark, sf, monkeypatch):
+    want = sorted(map(str, packing.op7_best_fit_packing(spark, sf).select("doc_id", "piece", "length").collect()))
+    monkeypatch.setattr(packing, "SENT", -1)
+    rows = packing.op7_best_fit_packing(spark, sf)
+    check(rows.collect())
+    assert sorted(map(str, rows.select("doc_id", "piece", "length").collect())) == want
+
+
 def test_odd_rows(odd, empty):
     rows = packing.pack(odd).collect()
     assert len({(r.doc_id, r.piece) for r in rows if r.doc_id == 4}) > 20 and sum(r.length == 1 for r in rows) == 3
