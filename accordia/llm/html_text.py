@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,14 @@ IN_TABLE = frozenset("caption tbody thead tfoot tr td th script style template".
 SHOWN_INPUTS = frozenset("text search tel url email number submit reset button date time month week datetime-local".split())
 BULLETS = "•◦▪"
 
-DEPTH = 150
-#: Longer lines of a cell don't widen their column, so that one can't pad thousands of rows.
-WIDE = 60
+#: Lines of a cell that has others to its right are wrapped at so many columns; a longer word stays whole and isn't aligned.
+WIDE = 80
+#: Columns of blanks before a cell at most.
+PAD = 1000
+#: Lists, quotations and tables within one another that are indented or set in columns; deeper ones flow as blocks.
+LEVELS = 50
+#: Open elements looked through one by one before the places of tags are consulted.
+NEAR = 32
 SPACES = re.compile(r"[ \t\n\f\r]+")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?""")
@@ -59,6 +65,8 @@ class Tree:
         self.head, self.body = Node("head", {}), Node("body", {})
         self.root.children = [self.head, self.body]
         self.open, self.in_head = [self.root, self.body], True
+        #: Where in self.open the elements of a tag are.
+        self.places: dict[str, list[int]] = {}
         self.parse(text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text)
 
     def parse(self, s: str) -> None:
@@ -113,7 +121,7 @@ class Tree:
             node = self.open[-1] if self.open[-1].tag == tag else None
             if node is not None:
                 node.children.append(html.unescape(raw) if tag in ESCAPABLE and "&" in raw else raw)
-                self.open.pop()
+                self.cut(len(self.open) - 1)
             gt = s.find(">", stop)
             return len(s) if gt < 0 else gt + 1
         return at
@@ -136,28 +144,42 @@ class Tree:
 
     def before_table(self, node: Node) -> None:
         """What isn't in a cell stands before its table."""
-        k = max(i for i, x in enumerate(self.open) if x.tag == "table")
+        k = self.places["table"][-1]
         parent, table = self.open[k - 1], self.open[k]
         place = next((i for i in range(len(parent.children) - 1, -1, -1) if parent.children[i] is table), len(parent.children))
         parent.children.insert(place, node)
 
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, i: int) -> None:
+        """Close the open elements from the i-th on."""
+        for x in self.open[i:]:
+            self.places[x.tag].pop()
+        del self.open[i:]
+
     def leave_head(self) -> None:
         self.in_head = False
-        del self.open[2:]
+        self.cut(2)
 
     def find(self, tags, stop) -> int:
         """Index of the innermost open element of these tags not behind one of `stop`; -1 if there is none."""
-        for i in range(len(self.open) - 1, 1, -1):
+        low = max(1, len(self.open) - 1 - NEAR)
+        for i in range(len(self.open) - 1, low, -1):
             if self.open[i].tag in tags:
                 return i
             if self.open[i].tag in stop:
                 return -1
-        return -1
+        if low == 1:
+            return -1
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        return at if at >= 0 and at >= max((self.places[t][-1] for t in stop if self.places.get(t)), default=-1) else -1
 
     def close(self, tags, stop) -> bool:
         if (i := self.find(tags, stop)) < 0:
             return False
-        del self.open[i:]
+        self.cut(i)
         return True
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
@@ -174,9 +196,9 @@ class Tree:
                     node = Node(tag, attrs)
                     self.head.children.append(node)
                     if tag in RAW or tag in ESCAPABLE:
-                        self.open.append(node)
+                        self.push(node)
                     elif tag == "noscript":
-                        self.open.append(node)
+                        self.push(node)
                 return
             if len(self.open) == 2 or self.open[-1].tag == "noscript":
                 self.leave_head()
@@ -188,7 +210,7 @@ class Tree:
         if tag in CLOSE_P:
             self.close(("p",), SCOPE)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         elif tag == "li":
             self.close(("li",), SCOPE | {"ul", "ol", "menu", "dir"})
         elif tag in ("dd", "dt"):
@@ -214,8 +236,8 @@ class Tree:
             self.before_table(node)
         else:
             self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH:
-            self.open.append(node)
+        if tag not in VOID:
+            self.push(node)
 
     def table_part(self, tag: str) -> None:
         stop = ("table",)
@@ -225,7 +247,7 @@ class Tree:
         if tag in ("tbody", "thead", "tfoot", "caption", "colgroup", "col"):
             self.close(("tbody", "thead", "tfoot"), stop)
         while self.open[-1].tag not in BETWEEN:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if tag in ("td", "th") and self.open[-1].tag != "tr":
             if self.open[-1].tag == "table":
                 self.imply("tbody")
@@ -236,8 +258,7 @@ class Tree:
     def imply(self, tag: str) -> None:
         node = Node(tag, {})
         self.open[-1].children.append(node)
-        if len(self.open) < DEPTH + 4:
-            self.open.append(node)
+        self.push(node)
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -271,7 +292,8 @@ def width(s: str) -> int:
 class Flow:
     """Lines of text: words of a line, and blank lines owed before the next."""
 
-    def __init__(self):
+    def __init__(self, level: int = 0):
+        self.level = level
         self.lines: list[str] = []
         self.line: list[str] = []
         self.space = False
@@ -356,11 +378,44 @@ def marker(kind: str, n: int) -> str:
     return str(n)
 
 
+def wrapped(lines: list[str]) -> list[str]:
+    """Lines wrapped between words at WIDE columns; no word is cut."""
+    out = []
+    for x in lines:
+        if len(x) * 2 <= WIDE or width(x) <= WIDE:
+            out.append(x)
+            continue
+        now, used = [], 0
+        for w in x.split(" "):
+            size = width(w)
+            if now and used + 1 + size > WIDE:
+                out.append(" ".join(now).rstrip())
+                now, used = [], 0
+            used += size + (1 if now else 0)
+            now.append(w)
+        out.append(" ".join(now))
+    return out
+
+
+Work = Iterator["Work"]
+
+
 class Renderer:
+    """Renders a tree. Its methods are generators that yield the work inside theirs, so that pages of any depth are
+    rendered with a stack of their own."""
+
     def __init__(self):
         self.items = self.rows = 0
 
-    def node(self, node: Node, flow: Flow, seen: bool, pre: bool, depth: int) -> None:
+    def run(self, node: Node, flow: Flow) -> None:
+        stack = [self.node(node, flow, True, False, 0)]
+        while stack:
+            if (inner := next(stack[-1], None)) is None:
+                stack.pop()
+            else:
+                stack.append(inner)
+
+    def node(self, node: Node, flow: Flow, seen: bool, pre: bool, depth: int) -> Work:
         tag, attrs = node.tag, node.attrs
         if tag in HIDDEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or tag == "dialog" and "open" not in attrs:
             return
@@ -380,48 +435,48 @@ class Renderer:
             if seen and (kind in SHOWN_INPUTS or kind not in ("hidden", "password", "checkbox", "radio", "file", "color", "range", "image")):
                 flow.words(attrs.get("value", ""))
         elif tag == "select":
-            self.select(node, flow, seen)
+            yield self.select(node, flow, seen)
         elif tag in ("ul", "ol", "menu", "dir"):
-            self.list(node, flow, seen, pre, depth)
-        elif tag == "table":
+            yield self.list(node, flow, seen, pre, depth)
+        elif tag == "table" and flow.level < LEVELS:
             flow.block(1)
-            self.table(node, flow, seen, pre, depth)
+            yield self.table(node, flow, seen, pre, depth)
             flow.block(1)
         elif tag == "details" and "open" not in attrs:
             flow.block(0)
             for x in node.children:
                 if isinstance(x, Node) and x.tag == "summary":
-                    self.node(x, flow, seen, pre, depth)
+                    yield self.node(x, flow, seen, pre, depth)
                     break
             flow.block(0)
-        elif tag in ("blockquote", "dd"):
-            inner = Flow()
-            self.children(node, inner, seen, pre, depth)
+        elif tag in ("blockquote", "dd") and flow.level < LEVELS:
+            inner = Flow(flow.level + 1)
+            yield self.children(node, inner, seen, pre, depth)
             flow.block(tag == "blockquote")
             flow.take(inner.done(), "  ", "  ")
             flow.block(tag == "blockquote")
         else:
             keep = pre or tag in ("pre", "xmp", "textarea", "plaintext", "listing")
-            if tag not in BLOCK and tag not in ("pre", "xmp"):
-                self.children(node, flow, seen, keep, depth)
+            if tag not in BLOCK and tag not in ("pre", "xmp", "td", "th"):
+                yield self.children(node, flow, seen, keep, depth)
                 return
             gap = int(tag in SPACED)
             flow.block(gap)
-            self.children(node, flow, seen, keep, depth)
+            yield self.children(node, flow, seen, keep, depth)
             flow.block(gap)
 
-    def children(self, node: Node, flow: Flow, seen: bool, pre: bool, depth: int) -> None:
+    def children(self, node: Node, flow: Flow, seen: bool, pre: bool, depth: int) -> Work:
         strip = node.tag in ("pre", "textarea", "listing")
         for k, x in enumerate(node.children):
             if isinstance(x, Node):
-                self.node(x, flow, seen, pre, depth)
+                yield self.node(x, flow, seen, pre, depth)
             elif seen:
                 if pre:
                     flow.exact(x[1:] if strip and not k and x[:1] == "\n" else x)
                 else:
                     flow.words(x)
 
-    def select(self, node: Node, flow: Flow, seen: bool) -> None:
+    def select(self, node: Node, flow: Flow, seen: bool) -> Work:
         """What a closed select shows: its selected option, else the first."""
         options, stack = [], [node]
         while stack:
@@ -432,9 +487,9 @@ class Renderer:
                 else:
                     stack += reversed(x.children)
         if options:
-            self.children(next((o for o in options if "selected" in o.attrs), options[0]), flow, seen, False, 0)
+            yield self.children(next((o for o in options if "selected" in o.attrs), options[0]), flow, seen, False, 0)
 
-    def list(self, node: Node, flow: Flow, seen: bool, pre: bool, depth: int) -> None:
+    def list(self, node: Node, flow: Flow, seen: bool, pre: bool, depth: int) -> Work:
         flow.block(0 if depth else 1)
         ordered = node.tag == "ol"
         items = [x for x in node.children if isinstance(x, Node) and x.tag == "li"]
@@ -443,16 +498,24 @@ class Renderer:
         for x in node.children:
             if not isinstance(x, Node) or x.tag != "li":
                 if isinstance(x, Node):
-                    self.node(x, flow, seen, pre, depth + 1)
+                    yield self.node(x, flow, seen, pre, depth + 1)
                 elif seen:
                     flow.words(x)
                 continue
             n = number(x.attrs.get("value"), -(10**9), 10**9, n)
             mark = f"{marker((x.attrs.get('type') or node.attrs.get('type') or '1')[:1], n)}. " if ordered else BULLETS[min(depth, 2)] + " "
-            inner = Flow()
             box = Node("div", x.attrs)
             box.children = x.children
-            self.node(box, inner, seen, pre, depth + 1)
+            if flow.level >= LEVELS:
+                flow.block(0)
+                flow.words(mark)
+                yield self.children(box, flow, seen, pre, depth + 1)
+                flow.block(0)
+                self.items += 1
+                n += step
+                continue
+            inner = Flow(flow.level + 1)
+            yield self.node(box, inner, seen, pre, depth + 1)
             lines = inner.done()
             gone = "hidden" in x.attrs or UNSEEN.search(x.attrs.get("style", ""))
             if not gone:
@@ -463,13 +526,13 @@ class Renderer:
                 flow.take(lines, mark, " " * len(mark))
         flow.block(0 if depth else 1)
 
-    def table(self, node: Node, flow: Flow, seen: bool, pre: bool, depth: int) -> None:
+    def table(self, node: Node, flow: Flow, seen: bool, pre: bool, depth: int) -> Work:
         heads, bodies, feet = [], [], []
         for part in node.children:
             if not isinstance(part, Node):
                 continue
             if part.tag == "caption" or part.tag not in ("tbody", "thead", "tfoot", "tr"):
-                self.node(part, flow, seen, pre, depth)
+                yield self.node(part, flow, seen, pre, depth)
                 flow.block(0)
                 continue
             if "hidden" in part.attrs or UNSEEN.search(part.attrs.get("style", "")):
@@ -488,14 +551,12 @@ class Renderer:
                     continue
                 while held.get(at, 0) > 0:
                     at += 1
-                inner = Flow()
+                inner = Flow(flow.level + 1)
                 box = Node("div", cell.attrs)
                 box.children = cell.children
-                self.node(box, inner, seen, pre, depth)
+                yield self.node(box, inner, seen, pre, depth)
                 lines = inner.done()
                 span = number(cell.attrs.get("colspan"), 1, 1000, 1)
-                if span == 1:
-                    widths[at] = max(widths.get(at, 0), *(width(x) if width(x) <= WIDE else 0 for x in lines), 0)
                 line.append((at, span, lines))
                 down = number(cell.attrs.get("rowspan"), 0, 65534, 1) or 65534
                 if down > 1:
@@ -503,6 +564,12 @@ class Renderer:
                 at += span
             held = {c: k - 1 for c, k in (held | new).items() if k > 1}
             grid.append(line)
+        last = max((c for line in grid for c, _, lines in line if lines), default=0)
+        grid = [[(c, span, wrapped(lines) if c < last else lines) for c, span, lines in line] for line in grid]
+        for line in grid:
+            for c, span, lines in line:
+                if span == 1:
+                    widths[c] = max(widths.get(c, 0), *(w for x in lines if (w := width(x)) <= WIDE or c == last), 0)
         columns = sorted(c for c, w in widths.items() if w)
         start, at = {}, 0
         for c in columns:
@@ -516,7 +583,7 @@ class Renderer:
                 for c, _, lines in line:
                     if k < len(lines) and lines[k]:
                         to = start.get(c, start[columns[i]] if (i := next((i for i, x in enumerate(columns) if x > c), None)) is not None else at)
-                        pad = max(to - used, 2 if used else 0)
+                        pad = min(max(to - used, 2 if used else 0), PAD)
                         text += " " * pad + lines[k]
                         used += pad + width(lines[k])
                 flow.emit(text.rstrip())
@@ -529,13 +596,16 @@ def render(page: str | None) -> tuple[str, int, int]:
     if not page:
         return "", 0, 0
     tree, r, flow = Tree(page), Renderer(), Flow()
-    r.node(tree.body, flow, True, False, 0)
+    r.run(tree.body, flow)
     return "\n".join(flow.done()).strip("\n"), r.items, r.rows
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, text, n_items, n_rows of every row of pages (page_id, html), each by itself: repeated rows and rows
-    without an id stay, null pages have an empty text, an empty table gives no rows. Other columns aren't read."""
+    without an id stay, null pages have an empty text, an empty table gives no rows. Other columns aren't read.
+
+    Elements may nest to any depth; lists, quotations and tables within more than LEVELS others flow as blocks. In a table, lines of a cell that has others to its right are wrapped at WIDE columns
+    between words; a longer word stays whole, and so isn't aligned with; PAD bounds the blanks before a cell."""
 
     def rows(batches):
         for batch in batches:

@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+from html.parser import HTMLParser
+
 import pytest
 
 from accordia.llm.html_text import extract, op10_html_extraction, render
@@ -76,3 +80,79 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, html string, text string")
     assert sorted(len(r.text) for r in extract(pages).collect()) == [0, 1, 1, 1, 299_999]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_depth_has_no_limit():
+    """Hidden blocks, text areas and lists are what they are at any depth, and deep pages take no deep recursion."""
+    for deep in ("<div>" * 40_000, "<i>" * 40_000, "<blockquote>" * 400, "<ul><li>" * 400, "<table><tr><td>" * 400):
+        text = render(f"{deep}<b style='display:none'>no</b><textarea>kept</textarea><p>end")[0]
+        assert "no" not in text.split() and text.split()[-2:] == ["kept", "end"]
+    assert render("<p>" + "<span>" * 3000 + "<div></div>" * 3000 + "x")[0] == "x"
+    assert render("<p><button>" + "<i>" * 20_000 + "<div></div>" * 20_000 + "x")[0] == "x"
+
+
+def test_wide_cells_are_wrapped_and_aligned():
+    words = " ".join(f"word{k}" for k in range(40))
+    lines = render(f"<table><tr><td>{words}<td>side<tr><td>b<td>c</table>")[0].split("\n")
+    at = lines[0].index("side")
+    assert at <= 82 and lines[-1].index("c") == at and " ".join(" ".join(lines).replace("side", "").split()[:-2]) == words
+
+
+class Words(HTMLParser):
+    """Visible words of a page whose tags are all closed, by the library's own parser."""
+
+    VOID = {"br", "hr", "img", "input", "link", "meta"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open, self.words = [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.VOID:
+            self.open.append((tag, tag in ("head", "script", "style", "template", "title") or "hidden" in dict(attrs) or "display:none" in (dict(attrs).get("style") or "").replace(" ", "")))
+
+    def handle_endtag(self, tag):
+        while self.open and any(t == tag for t, _ in self.open) and self.open.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        if not any(gone for _, gone in self.open):
+            self.words += data.split()
+
+
+def test_visible_words_against_another_parser(spark, sf):
+    """Of the test data's pages, all visible words come out; marks of lists are the only others."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        want, got = Counter("".join(Words(r.html).words)), Counter("".join(render(r.html)[0].split()))
+        assert not want - got and set(got - want) <= set("•◦▪.0123456789"), r.page_id
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_generated_pages(seed):
+    """Blocks made beside the text they should give, in HTML that leaves out what may be left out."""
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice(["alpha", "b", "gamma delta", "x&amp;y", "é"])
+    shown = lambda s: s.replace("&amp;", "&")
+    for _ in range(60):
+        page, blocks = "", []
+        for _ in range(rnd.randint(1, 6)):
+            kind = rnd.choice(["p", "h2", "ul", "ol", "table", "gone"])
+            if kind in ("p", "h2"):
+                w = word()
+                page += f"<{kind}>{rnd.choice(['', '  '])}{w}" + (f"</{kind}>" if kind == "h2" or rnd.random() < 0.5 else "\n")
+                blocks.append(shown(w))
+            elif kind in ("ul", "ol"):
+                items = [word() for _ in range(rnd.randint(1, 4))]
+                page += f"<{kind}>" + "".join(f"<li>{w}" + rnd.choice(["", "</li>\n"]) for w in items) + f"</{kind}>"
+                blocks.append("\n".join((f"{k}. " if kind == "ol" else "• ") + shown(w) for k, w in enumerate(items, 1)))
+            elif kind == "table":
+                grid = [[word() for _ in range(3)] for _ in range(rnd.randint(1, 3))]
+                page += "<table>" + "".join("<tr>" + "".join(f"<td>{w}" for w in row) for row in grid) + "</table>"
+                grid = [[shown(w) for w in row] for row in grid]
+                wide = [max(len(row[c]) for row in grid) for c in range(3)]
+                blocks.append("\n".join("  ".join(w.ljust(wide[c]) for c, w in enumerate(row)).rstrip() for row in grid))
+            else:
+                page += rnd.choice(["<p hidden>no</p>", "<script>no<p></script>", "<div style='display: none'>no<ul><li>no</ul></div>"])
+        assert render(page)[0] == "\n\n".join(blocks), page
