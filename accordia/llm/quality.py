@@ -1,11 +1,12 @@
-"""Operator 1: quality rules whose cutoffs come with a bound on how many good documents they reject.
-
-For each stratum (language) and each rule (a statistic and a side), cutoffs are tried from lenient to strict on the
-labelled documents. A cutoff is certified while the exact binomial test rejects "at least `risk` of the stratum's good
-documents would fall to this rule" at its share of `error`: Bonferroni over all strata and rules, and a fixed sequence
-within a rule, which stops at the first cutoff that isn't certified. So with probability 1 - error no certified cutoff
-anywhere rejects more than `risk` of the good documents, and the rules of a stratum together no more than their sum.
-Of the certified cutoffs the one is used that rejects most bad documents, less `good_weight` times the good ones.
+"""Operator 1: quality rules whose cutoffs come with a bound on how many good documents they reject together.
+
+Labelled documents are dealt by a hash of their id into a tuning part and a holdout. On the tuning part each stratum
+(language) gets, of each rule (a statistic and a side), the cutoff that rejects most bad documents, less `good_weight`
+times the good ones; its rules are then ordered by that gain. On the holdout the first rule, the first two together, and
+so on are tested in this order: a set is certified while the exact binomial test rejects "at least `risk` of the
+stratum's good documents would fall to one of these rules" at the stratum's share of `error`. Bonferroni over the
+strata, a fixed sequence within one: with probability 1 - error, no stratum loses more than `risk` of its good documents
+to all of its rules together. The largest certified set is used.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -39,9 +41,16 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Risk:
-    risk: float = 0.01
+    """tuning: tenths of the labelled documents that choose cutoffs; the others certify them."""
+
+    risk: float = 0.05
     error: float = 0.05
     good_weight: float = 20.0
+    tuning: int = 3
+
+
+#: Rules of a stratum, in the order in which they were tested, with their cutoffs.
+Cutoffs = list[tuple[tuple[str, str], float]]
 
 
 def measure(text: str | None) -> tuple:
@@ -72,21 +81,27 @@ def measure(text: str | None) -> tuple:
     return (n, chars, symbols, dup, repeated, symbols / chars, text.count("!") / n, capitals / chars, dup / len(lines), repeated / n, chars / n, marks / n)
 
 
+NAMES = [x.split()[0] for x in f"{BASE}, {STATS}".split(", ")]
+KINDS = [pa.int64()] * 5 + [pa.float64()] * 7
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, stratum and every count and statistic of each row; nothing else is read of docs."""
-    names = [x.split()[0] for x in f"{BASE}, {STATS}".split(", ")]
 
     def rows(batches):
         for batch in batches:
             for part in common.slices(batch, "text", 4 << 20):
                 cols = list(zip(*map(measure, part.column("text").to_pylist()), strict=True))
-                kinds = [pa.int64()] * 5 + [pa.float64()] * 7
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("stratum"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "stratum", *names])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("stratum"), *map(pa.array, cols, KINDS)], names=["doc_id", "stratum", *NAMES])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("stratum"), F.col("text").cast("string").alias("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum().alias("stratum"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(rows, f"doc_id long, stratum string, {BASE}, {STATS}").withColumn("base_failed", base_failed())
 
 
+def stratum():
+    return F.coalesce(F.col("lang").cast("string"), F.lit("?"))
+
+
 def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -98,58 +113,80 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def certify(counts: dict[str, dict[tuple[str, str], list[tuple[int, int]]]], totals: dict[str, int], risk: Risk) -> dict[str, dict[tuple[str, str], float]]:
-    """Cutoffs by stratum and rule. counts: for each cutoff, the good and the bad labelled documents it rejects; totals: good ones."""
-    alpha = risk.error / max(1, len(counts) * len(RULES))
-    out: dict[str, dict[tuple[str, str], float]] = {}
-    for stratum, rules in counts.items():
-        n = totals.get(stratum, 0)
-        for rule, pairs in rules.items():
-            best = 0.0
-            for cutoff, (good, bad) in zip(RULES[rule], pairs, strict=True):
-                # no more than expected can be certified, so the sum stays short
-                if not n or good >= risk.risk * n or tail(good, n, risk.risk) > alpha:
-                    break
-                if (gain := bad - risk.good_weight * good) > best:
-                    best = gain
-                    out.setdefault(stratum, {})[rule] = cutoff
+def choose(counts: dict[tuple[str, str], list[tuple[int, int]]], risk: Risk) -> Cutoffs:
+    """The best cutoff of each rule of a stratum, best rules first. counts: for each cutoff, the good and the bad tuning documents it rejects."""
+    best = []
+    for (name, side), pairs in counts.items():
+        gain, nth = max((bad - risk.good_weight * good, -i) for i, (good, bad) in enumerate(pairs))
+        if gain > 0:
+            best.append((-gain, name, side, RULES[name, side][-nth]))
+    return [((name, side), cutoff) for _, name, side, cutoff in sorted(best)]
+
+
+def certify(lost: dict[str, list[int]], totals: dict[str, int], risk: Risk, strata: int) -> dict[str, int]:
+    """How many of its rules each stratum may use. lost: good holdout documents that fall to the first rule, to one of the first two, and so on; totals: good ones."""
+    out = {}
+    for s, counts in lost.items():
+        n, out[s] = totals.get(s, 0), 0
+        for k in counts:
+            # no more than expected can be certified, so the sum stays short
+            if not n or k >= risk.risk * n or tail(k, n, risk.risk) > risk.error / strata:
+                break
+            out[s] += 1
     return out
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str, dict[tuple[str, str], float]]:
-    """Cutoffs from all labelled documents that pass the base rules.
+def in_tuning(risk: Risk):
+    """Whether a labelled document tunes, by a hash of its id that any SQL engine can do."""
+    m = 1_000_003
+    return F.pmod(F.pmod(F.col("doc_id"), F.lit(m)) * 7919, F.lit(m)) % 10 < risk.tuning
+
+
+def calibrate(stats: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str, Cutoffs]:
+    """Each stratum's certified rules, from all labelled documents that pass the base rules.
 
     labels (doc_id, quality): null ids and qualities count for nothing; of several labels the worst holds. What is
-    gathered are counts, one row per stratum and quality; strata are languages, few by their nature.
+    gathered are counts, some rows per stratum; strata are languages, few by their nature.
     """
-    truth = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = stats.where(~F.col("base_failed")).join(truth, "doc_id")
+    truth = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).alias("good"))
+    held = common.settle(stats.where(~F.col("base_failed")).join(truth, "doc_id").withColumn("tuning", in_tuning(risk)), "labelled")
     sums, keys = [F.count("*").alias("n")], []
     for (name, side), cuts in RULES.items():
         for c in cuts:
             keys.append((name, side))
-            sums.append(F.count_if(F.col(name) > c if side == "+" else F.col(name) < c).alias(f"c{len(keys)}"))
-    counts: dict = {}
-    totals: dict[str, int] = {}
-    rows = {(r.stratum, r.good): r for r in held.groupBy("stratum", (F.col("quality") > 0).alias("good")).agg(*sums).collect()}
-    for stratum in sorted({s for s, _ in rows}):
-        good, bad = rows.get((stratum, True)), rows.get((stratum, False))
-        totals[stratum] = good.n if good else 0
-        own = counts.setdefault(stratum, {})
+            sums.append(F.count_if(beyond(name, side, c)).alias(f"c{len(keys)}"))
+    rows = {(r.stratum, r.tuning, r.good): r for r in held.groupBy("stratum", "tuning", "good").agg(*sums).collect()}
+    strata, chosen = sorted({s for s, _, _ in rows}), {}
+    for s in strata:
+        good, bad = rows.get((s, True, True)), rows.get((s, True, False))
+        own: dict[tuple[str, str], list[tuple[int, int]]] = {}
         for i, key in enumerate(keys, 1):
             own.setdefault(key, []).append((good[f"c{i}"] if good else 0, bad[f"c{i}"] if bad else 0))
-    return certify(counts, totals, risk)
+        chosen[s] = choose(own, risk)
+    totals = {s: rows[s, False, True].n if (s, False, True) in rows else 0 for s in strata}
+    fell = {(r.stratum, r.nth): r.n for r in held.where("good AND NOT tuning").groupBy("stratum", first_hit(chosen, lambda nth, rule, c: F.lit(nth)).alias("nth")).agg(F.count("*").alias("n")).collect()}
+    lost = {s: [sum(fell.get((s, j), 0) for j in range(k + 1)) for k in range(len(chosen[s]))] for s in strata}
+    return {s: chosen[s][:k] for s, k in certify(lost, totals, risk, len(strata)).items() if k}
 
 
-def rejection(cutoffs: dict[str, dict[tuple[str, str], float]]):
-    """The first rule, by name and side, whose cutoff a row with stratum and statistics passes; null if none."""
-    tests = F.lit(None).cast("string")
-    for stratum, rules in cutoffs.items():
-        hit = F.lit(None).cast("string")
-        for (name, side), c in sorted(rules.items(), reverse=True):
-            hit = F.when(F.col(name) > c if side == "+" else F.col(name) < c, f"{name}{side}{c:g}").otherwise(hit)
-        tests = F.when(F.col("stratum") == stratum, hit).otherwise(tests)
-    return tests
+def beyond(name: str, side: str, cutoff: float):
+    return F.col(name) > cutoff if side == "+" else F.col(name) < cutoff
+
+
+def first_hit(cutoffs: dict[str, Cutoffs], value):
+    """value(place, rule, cutoff) of the first of its stratum's rules that rejects a row; null if none does."""
+    out = F.lit(None)
+    for s, rules in cutoffs.items():
+        hit = F.lit(None)
+        for nth, (rule, c) in reversed(list(enumerate(rules))):
+            hit = F.when(beyond(*rule, c), value(nth, rule, c)).otherwise(hit)
+        out = F.when(F.col("stratum") == s, hit).otherwise(out)
+    return out
+
+
+def rejection(cutoffs: dict[str, Cutoffs]):
+    """The first rule that rejects a row, with its cutoff; null if none does."""
+    return first_hit(cutoffs, lambda nth, rule, c: F.lit(f"{rule[0]}{rule[1]}{c:g}")).cast("string")
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
@@ -161,28 +198,31 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """
     stats = common.settle(measured(docs), "quality")
     out = stats.withColumn("rejected_by", F.when(~F.col("base_failed"), rejection(calibrate(stats, labels, risk))))
-    names = [x.split()[0] for x in BASE.split(", ")]
-    return out.select("doc_id", *names, "base_failed", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
+    return out.select("doc_id", *NAMES[:5], "base_failed", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"), "rejected_by")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """The rows of docs that are kept, with their columns. Texts stay where they are: the counts are made a second time
-    beside them rather than joined to them."""
-    cutoffs = calibrate(common.settle(measured(docs), "quality"), labels, risk)
-    spec = [x.split()[0] for x in f"{BASE}, {STATS}".split(", ")]
+    """The rows of docs that are kept, with their columns, as judge() has it: null, empty and short texts go, repeated
+    rows and those without an id are judged each, whatever other columns there are.
 
-    def keep(batches):
+    Rows are written once with their statistics, which the calibration and the filter read; no text is measured twice
+    and none leaves its place. An empty table gives no rows.
+    """
+    mark = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # no column of docs begins like this
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(", ".join(mark + x for x in f"{BASE}, {STATS}".split(", "))).fields])
+
+    def rows(batches):
         for batch in batches:
             for part in common.slices(batch, "text", 4 << 20):
-                mask = []
-                for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
-                    m = dict(zip(spec, measure(text), strict=True))
-                    bad = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
-                    rules = cutoffs.get("?" if lang is None else lang, {})
-                    mask.append(not bad and not any(m[name] > c if side == "+" else m[name] < c for (name, side), c in rules.items()))
-                yield part.filter(pa.array(mask, pa.bool_()))
+                cols = list(zip(*map(measure, part.column("text").to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, cols, KINDS)], names=[*part.schema.names, *(mark + x for x in NAMES)])
 
-    return docs.mapInArrow(keep, docs.schema)
+    wide = common.settle(docs.mapInArrow(rows, schema), "quality")
+    plain = [F.col(mark + x).alias(x) for x in NAMES]
+    stats = wide.select(F.col("doc_id").cast("long").alias("doc_id"), stratum().alias("stratum"), *plain).withColumn("base_failed", base_failed())
+    gone = rejection(calibrate(stats, labels, risk))
+    packed = wide.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), stratum().alias("stratum"), *plain)
+    return packed.where(~base_failed() & gone.isNull()).select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,14 +246,14 @@ full_ AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_
 stat AS (SELECT r, stratum, doc_id, unnest({stats}) AS name, unnest([{', '.join(stats)}]) AS v FROM full_ WHERE NOT base_failed),
 cut(name, side, nth, cutoff, label) AS (VALUES {cuts}),
 truth AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-held AS (SELECT s.*, t.good FROM stat s JOIN truth t USING (doc_id)),
-total AS (SELECT stratum, count(DISTINCT CASE WHEN good THEN r END) AS n FROM held GROUP BY stratum),
-strata AS (SELECT count(*) AS c FROM total),
-hit AS (SELECT h.stratum, c.name, c.side, c.nth, c.cutoff, c.label, count(*) FILTER (good AND CASE c.side WHEN '+' THEN v > c.cutoff ELSE v < c.cutoff END) AS k, count(*) FILTER (NOT good AND CASE c.side WHEN '+' THEN v > c.cutoff ELSE v < c.cutoff END) AS bad FROM held h JOIN cut c USING (name) GROUP BY ALL),
-p AS (SELECT h.*, t.n, t.n > 0 AND k < {risk.risk}e0 * t.n AS few FROM hit h JOIN total t USING (stratum)),
-tails AS (SELECT stratum, name, side, nth, sum(exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) + i * ln({risk.risk}e0) + (n - i) * ln(1 - {risk.risk}e0))) AS p FROM (SELECT *, unnest(generate_series(0, k)) AS i FROM p WHERE few) GROUP BY ALL),
-ok AS (SELECT p.*, bool_and(few AND coalesce(t.p, 1) <= {risk.error}e0 / ((SELECT c FROM strata) * {len(RULES)})) OVER (PARTITION BY p.stratum, p.name, p.side ORDER BY p.nth) AS certified, bad - {risk.good_weight}e0 * k AS gain FROM p LEFT JOIN tails t USING (stratum, name, side, nth)),
-best AS (SELECT stratum, name, side, cutoff, label FROM (SELECT *, row_number() OVER (PARTITION BY stratum, name, side ORDER BY gain DESC, nth) AS place FROM ok WHERE certified AND gain > 0) WHERE place = 1),
-gone AS (SELECT s.r, min_by(b.label, b.name || b.side) AS label FROM stat s JOIN best b ON s.stratum = b.stratum AND s.name = b.name AND CASE b.side WHEN '+' THEN s.v > b.cutoff ELSE s.v < b.cutoff END GROUP BY s.r)
+labelled AS (SELECT f.r, f.stratum, t.good, ((doc_id % 1000003 + 1000003) % 1000003) * 7919 % 1000003 % 10 < {risk.tuning} AS tuning FROM full_ f JOIN truth t USING (doc_id) WHERE NOT base_failed),
+gain AS (SELECT l.stratum, c.name, c.side, c.nth, c.cutoff, c.label, count(*) FILTER (NOT good) - {risk.good_weight}e0 * count(*) FILTER (good) AS gain FROM labelled l JOIN stat s USING (r) JOIN cut c ON c.name = s.name AND CASE c.side WHEN '+' THEN v > c.cutoff ELSE v < c.cutoff END WHERE tuning GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, name, side) AS place FROM (SELECT *, row_number() OVER (PARTITION BY stratum, name, side ORDER BY gain DESC, nth) AS top FROM gain WHERE gain > 0) WHERE top = 1),
+hit AS (SELECT s.r, min(b.place) AS place FROM stat s JOIN best b ON s.stratum = b.stratum AND s.name = b.name AND CASE b.side WHEN '+' THEN s.v > b.cutoff ELSE s.v < b.cutoff END GROUP BY s.r),
+holdout AS (SELECT l.stratum, h.place FROM labelled l LEFT JOIN hit h USING (r) WHERE good AND NOT tuning),
+test AS (SELECT b.stratum, b.place, count(*) FILTER (o.stratum IS NOT NULL) AS n, count(*) FILTER (o.place <= b.place) AS k FROM best b LEFT JOIN holdout o ON o.stratum = b.stratum GROUP BY ALL),
+tails AS (SELECT stratum, place, sum(exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) + i * ln({risk.risk}e0) + (n - i) * ln(1 - {risk.risk}e0))) AS p FROM (SELECT *, unnest(generate_series(0, k)) AS i FROM test WHERE k < {risk.risk}e0 * n) GROUP BY ALL),
+ok AS (SELECT t.stratum, t.place, bool_and(coalesce(p.p, 1) <= {risk.error}e0 / (SELECT count(DISTINCT stratum) FROM labelled)) OVER (PARTITION BY t.stratum ORDER BY t.place) AS certified FROM test t LEFT JOIN tails p USING (stratum, place)),
+gone AS (SELECT h.r, b.label FROM hit h JOIN full_ f USING (r) JOIN ok USING (stratum, place) JOIN best b USING (stratum, place) WHERE certified)
 SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND g.label IS NULL AS kept, g.label AS rejected_by
 FROM full_ f LEFT JOIN gone g ON g.r = f.r"""

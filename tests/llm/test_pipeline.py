@@ -12,13 +12,18 @@ def test_run_against_plain_version(spark, sf, docs, local):
     seen = {i: dict(zip(names, quality.measure(d.text), strict=True)) for i, d in local.items()}
     passed = {i for i, m in seen.items() if m["n_words"] >= 50 and 100 * m["n_repeat_words"] <= 50 * m["n_words"]}
     hit = lambda m, name, side, c: m[name] > c if side == "+" else m[name] < c
-    counts, totals = {}, {}
-    for s in {local[i].lang for i in passed if i in labels}:
-        own = [(seen[i], labels[i] > 0) for i in passed if i in labels and local[i].lang == s]
-        totals[s] = sum(g for _, g in own)
-        counts[s] = {(n, side): [(sum(g and hit(m, n, side, c) for m, g in own), sum(not g and hit(m, n, side, c) for m, g in own)) for c in cuts] for (n, side), cuts in quality.RULES.items()}
-    cutoffs = quality.certify(counts, totals, quality.Risk())
-    kept = {i for i in passed if not any(hit(seen[i], n, side, c) for (n, side), c in cutoffs.get(local[i].lang, {}).items())}
+    risk = quality.Risk()
+    tunes = lambda i: i % 1_000_003 * 7919 % 1_000_003 % 10 < risk.tuning
+    held = {i for i in passed if i in labels}
+    strata, lost, totals, chosen = {local[i].lang for i in held}, {}, {}, {}
+    for s in strata:
+        own = [(seen[i], labels[i] > 0) for i in held if local[i].lang == s and tunes(i)]
+        chosen[s] = quality.choose({(n, side): [(sum(g and hit(m, n, side, c) for m, g in own), sum(not g and hit(m, n, side, c) for m, g in own)) for c in cuts] for (n, side), cuts in quality.RULES.items()}, risk)
+        good = [seen[i] for i in held if local[i].lang == s and not tunes(i) and labels[i] > 0]
+        totals[s] = len(good)
+        lost[s] = [sum(any(hit(m, *r, c) for r, c in chosen[s][: k + 1]) for m in good) for k in range(len(chosen[s]))]
+    used = quality.certify(lost, totals, risk, len(strata))
+    kept = {i for i in passed if not any(hit(seen[i], *r, c) for r, c in chosen.get(local[i].lang, [])[: used.get(local[i].lang, 0)])}
     model = langid.fit(docs.where(docs.doc_id.isin([int(i) for i in kept])))
     got = dict(zip(kept, langid.predict(model, [local[i].text for i in kept]), strict=True))
     kept = [i for i in kept if got[i][0] != "und" and got[i][1] >= 0.4]
