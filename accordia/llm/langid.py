@@ -103,7 +103,8 @@ def positions(model: Model, flat: np.ndarray, start: np.ndarray, length: np.ndar
 
 
 def predict(model: Model, texts: list[str | None], setup: Setup = Setup()) -> list[tuple[str, float]]:
-    """Language and its pooled probability for each whole text. Null, or no letter, or a model without languages: und, 0."""
+    """Language and its pooled probability for each whole text. Null, or no letter, or a model without languages: und, 0.
+    Of equally likely languages, the first of model.languages."""
     if not model.languages:
         return [(UNKNOWN, 0.0)] * len(texts)
     lettered = [any(map(str.isalpha, t or "")) for t in texts]
@@ -220,7 +221,12 @@ def fit(docs: DataFrame, setup: Setup = Setup()) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, setup: Setup = Setup()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row, from its whole text alone."""
+    """doc_id, held_out, lang_pred, score for every row, from its whole text alone.
+
+    Null and empty texts, and those without a letter, are "und" at 0, as all are by a model without languages. Of
+    languages that are equally likely the first by name is taken. Repeated rows and rows without an id are labelled each
+    (a null id isn't held out); very long texts are labelled window by window; an empty table gives no rows; other
+    columns aren't read."""
 
     def rows(batches):
         for batch in batches:
@@ -233,7 +239,9 @@ def identify(docs: DataFrame, model: Model, setup: Setup = Setup()) -> DataFrame
 
 
 def filter_documents(docs: DataFrame, least: float = 0.4, setup: Setup = Setup()) -> DataFrame:
-    """The rows of docs, with their columns, whose language is known at that score at least."""
+    """The rows of docs, with all their columns, whose language is known at that score at least: null texts, empty ones
+    and those without a letter go, repeated rows stay or go together, and an empty table gives no rows. The model is
+    trained on docs' own labelled rows; where there are none, no language is known and all rows go."""
     model = fit(docs, setup)
 
     def keep(batches):
