@@ -31,6 +31,8 @@ DISCOUNT = 0.75
 GATHER = 3_000_000
 #: Characters of input for each bigram shard, and for each vocabulary shard.
 SHARD_CHARS, VOCAB_CHARS = 12_000_000, 100_000_000
+#: Shards that a task keeps mapped; the one mapped first goes first.
+MAPPED = 4000
 #: The word that ends a document has a hash of its own.
 END = np.uint64(0x5EED_0E0D_0000_0001)
 #: Quantised log10 values reach down to this.
@@ -214,6 +216,8 @@ class Vocabulary:
 
     def shard(self, s: int) -> tuple[EliasFano, np.ndarray]:
         if s not in self.shards:
+            if len(self.shards) >= MAPPED:
+                del self.shards[next(iter(self.shards))]
             raw = common.mapped(f"{self.files.folder}/words-{s}.ef")
             keys = EliasFano(raw)
             self.shards[s] = keys, np.frombuffer(raw, "<u8", keys.n, keys.end)
@@ -337,6 +341,8 @@ def train(docs: DataFrame) -> Files:
     files = Files(folder, vocab, shards, bases, sum(r.total for r in sizes))
     if not files.words:
         return files
+    if files.words >= 1 << 32:
+        raise ValueError("more than 2**32 words: pairs of ids don't fit in 64 bits")
 
     def count_bigrams(batches):
         words, held, n = Vocabulary(files), [], 0
@@ -405,6 +411,8 @@ class Scorer:
 
     def shard(self, s: int) -> Bigrams | None:
         if s not in self.pairs:
+            if len(self.pairs) >= MAPPED:
+                del self.pairs[next(iter(self.pairs))]
             try:
                 self.pairs[s] = Bigrams(common.mapped(f"{self.files.folder}/pairs-{s}.ef"))
             except FileNotFoundError:  # no pair fell to this shard
