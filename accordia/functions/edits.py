@@ -10,6 +10,9 @@ import re
 import textwrap
 import tomllib
 import xml.etree.ElementTree as ET
+from bisect import bisect_left
+from collections import defaultdict
+from typing import NamedTuple
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -17,38 +20,61 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 FIELDS = ("file", "replace_this", "with_this")
 EDITS = ArrayType(StructType([StructField(n, StringType()) for n in ("file_path", "old_segment", "new_segment")]))
 APPLIED = StructType([StructField("text", StringType()), StructField("kinds", StringType()), StructField("error", StringType())])
-#: Least likeness of the lines between two anchors.
-LIKE = 0.50
-
-_BLOCK = re.compile(r"<\s*edits\b[^>]*>.*?</\s*edits\s*>", re.S | re.I)
-_EDIT = re.compile(r"<edit\b[^>]*>(.*?)</edit\s*>", re.S | re.I)
-_STRAY = re.compile(r"(?:\r?\n)?[ \t]*</\s*(?:file|replace_this|with_this)\s*>[ \t]*$", re.I)
-_OPEN = {f: re.compile(rf'<\s*"?{f}[^>]*>', re.I) for f in FIELDS}
-_CLOSE = {f: re.compile(rf"</\s*{f}\s*>", re.I) for f in FIELDS}
-
-
-def _trim_edges(s: str) -> str:
-    """Without the one line end that the tags put on either side."""
-    s = s[2:] if s.startswith("\r\n") else s[1:] if s.startswith("\n") else s
-    return s[:-2] if s.endswith("\r\n") else s[:-1] if s.endswith("\n") else s
-
-
-def _fields(body: str) -> tuple[str, ...]:
-    """The three fields in their order. A field ends at its own closing tag, or, where that is missing or wrong, at the
-    next field's opening tag or the body's end, without a stray closing tag there."""
-    at, out = 0, []
-    for field, following in zip(FIELDS, (*FIELDS[1:], None), strict=True):
-        start = _OPEN[field].search(body, at)
-        if not start:
-            raise ValueError(f"no <{field}>")
-        close = _CLOSE[field].search(body, start.end())
-        nxt = _OPEN[following].search(body, start.end()) if following else None
-        if close and (not nxt or close.start() < nxt.start()):
-            text, at = body[start.end() : close.start()], close.end()
+# Least likeness of an anchored span, how far it may reach (lines more, times as long), names of the ways.
+LIKE, MORE, TIMES = 0.50, 40, 2.5
+EXACT, WHOLE, ANCHORED, HEADED = "exact string match", "full indentation-insensitive match", "first/last anchor match, score=", "first line matching"
+
+_TAG = re.compile(r'<\s*(/?)\s*"?(edits|edit|file|replace_this|with_this)[^>]*>', re.I)
+
+
+class Tag(NamedTuple):
+    name: str
+    closing: bool
+    start: int
+    end: int
+
+
+def _tags(text: str) -> list[Tag]:
+    return [Tag(m[2].lower(), bool(m[1]), m.start(), m.end()) for m in _TAG.finditer(text)]
+
+
+def _inner(s: str) -> str:
+    """What a field holds: the line end after its opening tag and the one before its closing tag are markup, with the
+    blanks between them and the tag."""
+    head, end, rest = s.partition("\n")
+    if end and not head.strip(" \t\r"):
+        s = rest
+    rest, end, tail = s.rpartition("\n")
+    return rest.removesuffix("\r") if end and not tail.strip(" \t") else s
+
+
+def _fields(text: str, tags: list[Tag], end: int) -> tuple[str, ...] | None:
+    """The three fields of an edit whose tags these are, in their order; None if one has no opening tag.
+
+    A field lasts to its own closing tag, unless the next field opens before; then, or where no such tag is left, a
+    closing tag of another field right before counts as the one that was meant.
+    """
+    out: list[str] = []
+    left = iter(tags)
+    now = next(left, None)
+    for nth, field in enumerate(FIELDS):
+        while now and (now.closing or now.name != field):
+            now = next(left, None)
+        if not now:
+            return None
+        begin, wrong = now.end, None
+        following = FIELDS[nth + 1 : nth + 2]
+        for now in left:
+            if now.closing and now.name == field or not now.closing and now.name in following:
+                break
+            if now.closing and now.name in FIELDS:
+                wrong = now
         else:
-            at = nxt.start() if nxt else len(body)
-            text = _STRAY.sub("", body[start.end() : at].rstrip("\n") if nxt else body[start.end() :])
-        out.append(_trim_edges(text))
+            now = None
+        stop = now.start if now else end
+        if not (now and now.closing) and wrong and not text[wrong.end : stop].strip():
+            stop = wrong.start
+        out.append(_inner(text[begin:stop]))
     return tuple(out)
 
 
@@ -56,86 +82,89 @@ def extract(answer: str | None) -> list[tuple[str, str, str]]:
     """Edits (file, old, new) of the answer's first complete <edits> block, or of its lone <edit> blocks. Blocks that
     can't be repaired are left out; null has none."""
     text = answer or ""
-    block = _BLOCK.search(text)
-    out = []
-    for m in _EDIT.finditer(block[0] if block else text):
-        try:
-            path, old, new = _fields(m[1])
-        except ValueError:
+    tags = _tags(text)
+    opened = next((k for k, t in enumerate(tags) if t.name == "edits" and not t.closing), None)
+    if opened is not None and (closed := next((k for k in range(opened, len(tags)) if tags[k].name == "edits" and tags[k].closing), None)):
+        tags = tags[opened + 1 : closed]
+    out, first = [], None
+    for k, t in enumerate(tags):
+        if t.name != "edit" or (first is None) == t.closing:
             continue
-        out.append((path.strip(), old, new))
+        if first is None:
+            first = k
+            continue
+        if got := _fields(text, tags[first + 1 : k], t.start):
+            out.append((got[0].strip(), *got[1:]))
+        first = None
     return out
 
 
-def _bare(line: str) -> str:
-    return line.strip()
+class Span(NamedTuple):
+    """Lines [start, end) that an edit may mean; of several the likest counts, then the one whose length is nearest."""
+
+    like: float
+    drift: float
+    start: int
+    end: int
+
+
+def _spans(bare: list[str], goal: list[str]) -> tuple[str, list[Span]]:
+    """The first way that finds any lines, and all that it finds."""
+    n, places = len(goal), defaultdict(list)
+    for i, x in enumerate(bare):
+        places[x].append(i)
+    heads = [i for i in places[goal[0]] if i + n <= len(bare)]
+    if whole := [Span(1.0, 0.0, i, i + n) for i in heads if bare[i : i + n] == goal]:
+        return WHOLE, whole
+    dense, reach = [x for x in goal if x], max(n + MORE, int(n * TIMES))
+    lasts, anchored = places[dense[-1]], []
+    for i in places[dense[0]]:
+        for j in lasts[bisect_left(lasts, i) : bisect_left(lasts, i + reach)]:
+            like = difflib.SequenceMatcher(None, dense, [x for x in bare[i : j + 1] if x]).ratio()
+            anchored.append(Span(round(like, 9), round(abs(j + 1 - i - n) / n, 9), i, j + 1))
+    return (ANCHORED, anchored) if anchored else (HEADED, [Span(1.0, 0.0, i, i + n) for i in heads])
 
 
 def locate(text: str, old: str) -> tuple[int, int, str]:
     """Lines [start, end) of text that old stands for, and how they were found. Raises ValueError if that isn't clear."""
-    lines = text.splitlines(keepends=True)
-    want = old.splitlines()
-    while want and not want[0].strip():
-        want.pop(0)
-    while want and not want[-1].strip():
-        want.pop()
-    if not want:
+    goal = "\n".join(x.strip() for x in old.splitlines()).strip("\n").split("\n")
+    if goal == [""]:
         raise ValueError("nothing to replace")
-    bare, goal = [_bare(x) for x in lines], [_bare(x) for x in want]
-    n = len(goal)
-    whole = [i for i in range(len(bare) - n + 1) if bare[i : i + n] == goal]
-    if whole:
-        if len(whole) > 1:
-            raise ValueError("ambiguous")
-        return whole[0], whole[0] + n, "full indentation-insensitive match"
-    dense = [x for x in goal if x]
-    reach = max(n + 40, int(n * 2.5))
-    spans = []
-    for i in (i for i, x in enumerate(bare) if x == dense[0]):
-        for j in range(i, min(len(bare), i + reach)):
-            if bare[j] == dense[-1]:
-                like = difflib.SequenceMatcher(None, dense, [x for x in bare[i : j + 1] if x]).ratio()
-                spans.append((like, -abs(j + 1 - i - n) / n, i, j + 1))
-    if spans:
-        spans.sort(key=lambda s: s[:2], reverse=True)
-        like, off, i, j = spans[0]
-        if like < LIKE:
-            raise ValueError("anchors match too weakly")
-        if len(spans) > 1 and abs(spans[1][0] - like) < 1e-9 and abs(spans[1][1] - off) < 1e-9:
-            raise ValueError("ambiguous")
-        return i, j, f"first/last anchor match, score={like:.3f}"
-    starts = [i for i, x in enumerate(bare) if x == goal[0] and i + n <= len(bare)]
-    if len(starts) != 1:
-        raise ValueError("ambiguous" if starts else "not found")
-    return starts[0], starts[0] + n, "first line matching"
-
-
-def reindent(new: str, matched: list[str], text: str) -> str:
-    """new at the indentation of the first matched line that isn't blank, with the text's line ends; empty deletes."""
-    first = next((x for x in matched if x.strip()), "")
-    indent = first[: len(first) - len(first.lstrip(" \t"))]
-    end = "\r\n" if "\r\n" in text else "\n"
-    body = textwrap.dedent(new).strip("\n\r")
+    kind, spans = _spans([x.strip() for x in text.splitlines()], goal)
+    if not spans:
+        raise ValueError("not found")
+    best = max(spans, key=lambda s: (s.like, -s.drift))
+    if best.like < LIKE:
+        raise ValueError("anchors match too weakly")
+    if sum(s[:2] == best[:2] for s in spans) > 1:
+        raise ValueError("ambiguous")
+    return best.start, best.end, f"{kind}{best.like:.3f}" if kind == ANCHORED else kind
+
+
+def reindent(new: str, place: str, text: str) -> str:
+    """new as it stands in text instead of place: at the indentation of place's first line that isn't blank, with the
+    text's line ends, and with one at the end if place has one. An empty text deletes."""
+    body = textwrap.dedent(new).strip("\r\n")
     if not body:
         return ""
-    return end.join(indent + x if x.strip() else "" for x in body.splitlines()) + (end if matched and matched[-1].endswith("\n") else "")
+    indent = re.match(r"[ \t]*", next(filter(str.strip, place.splitlines()), ""))[0]
+    lines = textwrap.indent(body, indent).splitlines()
+    return ("\r\n" if "\r\n" in text else "\n").join([*(x if x.strip() else "" for x in lines), *([""] if place.endswith("\n") else [])])
 
 
 def apply(text: str, old: str, new: str) -> tuple[str, str]:
     """The text after one edit, and how its place was found. Raises ValueError for no or several places, or no change."""
     old, new = old.strip("\n\r"), new.strip("\n\r")
-    times = text.count(old) if old else 0
-    if times > 1:
-        raise ValueError("ambiguous")
-    if times == 1:
-        at = text.index(old)
-        line = text.rfind("\n", 0, at) + 1
-        inside = text[line:at].strip(" \t") == "" and "\n" in old
-        out, kind = text[:at] + (new if not inside else reindent(new, [text[line:at] + x for x in old.splitlines(keepends=True)], text)[at - line :]) + text[at + len(old) :], "exact string match"
+    before, found, after = text.partition(old) if old else (text, "", "")
+    kind = EXACT
+    if found:
+        if text.count(old) > 1:
+            raise ValueError("ambiguous")
     else:
         i, j, kind = locate(text, old)
         lines = text.splitlines(keepends=True)
-        out = "".join([*lines[:i], reindent(new, lines[i:j], text), *lines[j:]])
+        before, found, after = ("".join(x) for x in (lines[:i], lines[i:j], lines[j:]))
+    out = before + reindent(new, found, text) + after
     if out == text:
         raise ValueError("no change")
     return out, kind
@@ -185,18 +214,34 @@ def spaced(text: str) -> str:
     return text.replace("\n", "\n\n") + "\n"
 
 
+try:
+    import yaml
+
+    _YAML_ERRORS: tuple[type[Exception], ...] = (yaml.YAMLError,)
+except ModuleNotFoundError:
+    yaml, _YAML_ERRORS = None, ()
+
+
+def _yaml(text: str) -> None:
+    """Reads every document's structure, of whatever tags."""
+    if yaml:
+        for _ in yaml.compose_all(text, yaml.SafeLoader):
+            pass
+
+
 def syntax(path: str | None, text: str | None) -> int:
-    """1 if the file parses, or is of a kind that isn't checked here; else 0."""
+    """1 if the file parses, or is of a kind that isn't checked here (YAML: where no parser is installed); else 0."""
     suffix = (path or "").rsplit(".", 1)[-1].lower() if "." in (path or "") else ""
     check = {
         "json": json.loads, "xml": ET.fromstring, "toml": tomllib.loads, "py": ast.parse,
+        "yaml": _yaml, "yml": _yaml,
         "ini": lambda s: configparser.ConfigParser().read_string(s), "cfg": lambda s: configparser.ConfigParser().read_string(s),
     }.get(suffix)
     if check is None:
         return 1
     try:
         check(text or "")
-    except (ValueError, SyntaxError, ET.ParseError, configparser.Error, RecursionError):
+    except (ValueError, SyntaxError, ET.ParseError, configparser.Error, RecursionError, *_YAML_ERRORS):
         return 0
     return 1
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import codebleu, diffs, edits, stats, text, vectors
 from ..operators import conversion, embedding
 from ..operators.patches import decomposition, gold_scores
-from ..sources import files
+from ..sources import files, models
 from ..streaming.ingest import ingest, latest_cells
 from . import facts
 from .oracle_base import _directed, with_tables
@@ -144,16 +144,16 @@ def q_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(2048), F.least(n, F.lit(64000))).cast("long").alias("budget"))
 
 
-# What marks an error as one to try again, and one of credit.
-_RETRY = "429|500|502|503|504|rate limit|timeout|timed out|connection|temporarily unavailable|overloaded|internal server error"
-_CREDIT = "402|credit limit|credit_limit|add credits"
-_ERRORS = ["HTTP 429 slow down", "Error 402: add credits", "Read TIMED OUT", "bad request", "Connection reset", "server Overloaded", "invalid key"]
+_ERRORS = ["HTTP 429 slow down", "Error 402: add credits", "Read TIMED OUT", "bad request", "Connection reset", "server Overloaded", "invalid key", "model not ready", "value 1500", "Conflict"]
+_CODES = [429, 402, None, 400, None, 529, 401, None, None, 409]
 
 
 def q_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    msg = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % len(_ERRORS) + 1).cast("int"))
-    e = _table(spark, sf_dir, "events").select(msg.alias("m"))
-    return e.select(F.lower("m").rlike(_CREDIT).alias("credit"), (F.lower("m").rlike(_RETRY) & ~F.lower("m").rlike(_CREDIT)).alias("retry")).groupBy("credit", "retry").agg(F.count("*").alias("errors"))
+    """How often each policy tries again, gives up, or never tries, over errors with and without status codes."""
+    nth = (F.col("event_id") % len(_ERRORS) + 1).cast("int")
+    e = _table(spark, sf_dir, "events").select(F.element_at(F.array(*map(F.lit, _ERRORS)), nth).alias("m"), F.element_at(F.array(*[F.lit(c).cast("int") for c in _CODES]), nth).alias("c"))
+    each = e.select(F.inline(F.array(*[F.struct(F.lit(p).alias("policy"), models.retry_class(F.col("m"), p, F.col("c")).alias("class")) for p in models.POLICIES])))
+    return each.groupBy("policy", "class").agg(F.count("*").alias("errors"))
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +301,12 @@ SELECT issue, t, round(CASE WHEN la = 0 AND lb = 0 THEN 1e0 WHEN la = 0 OR lb =
     "gold_file_recall": _o("SELECT issue, round(100e0 * count(DISTINCT CASE WHEN starts_with(file, 'src/') THEN file END) / count(DISTINCT file), 6) AS recall FROM patch_file GROUP BY issue"),
     "ext_filter": f"WITH p AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN concat('a.d/', source) ELSE concat('src/', source, '/f.', CASE doc_id % {len(_EXTS)} {_EXT_CASE} END) END AS path FROM documents), e AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN '[no extension]' ELSE lower(split_part(path, '.', -1)) END AS ext FROM p) SELECT doc_id, path, ext, contains(lower(path), 'test') AS test FROM e WHERE ext NOT IN ('md', 'txt', 'snap', 'png', 'log')",
     "token_budget": "SELECT doc_id, CAST(greatest(2048, least(ceil(length(text) / 4e0 * 0.10e0), 64000)) AS BIGINT) AS budget FROM documents",
-    "retry_class": f"WITH m AS (SELECT lower(CASE event_id % {len(_ERRORS)} {_ERR_CASE} END) AS m FROM events) SELECT regexp_matches(m, '{_CREDIT}') AS credit, regexp_matches(m, '{_RETRY}') AND NOT regexp_matches(m, '{_CREDIT}') AS retry, count(*) AS errors FROM m GROUP BY ALL",
+    "retry_class": f"""WITH m AS (SELECT lower(CASE event_id % {len(_ERRORS)} {_ERR_CASE} END) AS m, CASE event_id % {len(_ERRORS)} WHEN 0 THEN 429 WHEN 1 THEN 402 WHEN 3 THEN 400 WHEN 5 THEN 529 WHEN 6 THEN 401 WHEN 9 THEN 409 END AS c FROM events),
+      w AS (SELECT *, regexp_matches(m, 'rate limit|timeout|timed out|connection|temporarily unavailable|overloaded') AS common FROM m),
+      k AS (SELECT 'status' AS policy, CASE WHEN CASE WHEN c IS NULL THEN common OR contains(m, 'internal server error') ELSE c IN (408, 409, 429, 500, 502, 503, 504, 529) END THEN 'retry' ELSE 'give up' END AS class FROM w
+        UNION ALL SELECT 'text', CASE WHEN common OR regexp_matches(m, '429|50[0234]|internal server error') THEN 'retry' ELSE 'give up' END FROM w
+        UNION ALL SELECT 'hosted', CASE WHEN regexp_matches(m, '402|credit.limit|add credits') THEN 'never' WHEN common OR regexp_matches(m, '503|429|not ready') THEN 'retry' ELSE 'give up' END FROM w)
+      SELECT policy, class, count(*) AS errors FROM k GROUP BY ALL""",
     "unpivot_results": _o("SELECT issue AS instance_id, repo, t, status FROM candidate"),
     "shard_concat": _o("SELECT issue AS instance_id, repo, " + ", ".join(f"max(CASE WHEN t = {t} AND {t} < 11 - 2 * (issue % 3) THEN status WHEN t = {t} THEN 'MISSING' END) AS t{t}" for t in range(11)) + " FROM candidate GROUP BY issue, repo"),
     "report_status": "SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 7 WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN 'ERROR' WHEN 3 THEN 'INCOMPLETE' WHEN 4 THEN 'EMPTY_PATCH' ELSE 'UNKNOWN' END AS status FROM documents",

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir; where that is unset, below a temporary folder."""
+    """A new folder's path below spark.checkpoint.dir; where that is unset, below a temporary folder, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="facts-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -76,10 +78,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_matrix(pairs: DataFrame, path: str, keys: list[str]) -> None:
-    """Symmetric matrices with unit diagonals, one CSV row per candidate, partitioned by keys. pairs: keys, i, j, score."""
+    """Symmetric matrices with unit diagonals, one CSV row per candidate, partitioned by keys. pairs: keys, i, j, score.
+    The columns are all candidates that occur, in their order."""
     both = pairs.select(*keys, "i", "j", "score").unionByName(pairs.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "score"))
     diagonal = both.select(*keys, "i", F.col("i").alias("j"), F.lit(1.0).alias("score")).distinct()
-    wide = both.unionByName(diagonal).groupBy(*keys, "i").pivot("j", list(range(11))).agg(F.first("score"))
+    wide = both.unionByName(diagonal).groupBy(*keys, "i").pivot("j").agg(F.first("score"))
     wide.write.mode("overwrite").partitionBy(*keys).csv(path, header=True)
 
 

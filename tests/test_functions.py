@@ -44,6 +44,12 @@ def test_edit_places():
     out, kind = edits.apply("  start\n  b\n", "start\nq", "n")
     assert kind == "first line matching" and out == "  n\n"
     assert edits.apply("a\r\n  b c\r\n", "b  c".replace("  ", " "), "d")[0] == "a\r\n  d\r\n"
+    assert edits.extract("<edit><file>a</file><replace_this>  \nA\n  </replace_this><with_this>\n\n B\n</edit>") == [("a", "A", "\n B")]
+    assert edits.apply("if x:\n    return 1\n", "    return 1", "  return 2\n  y")[0] == "if x:\n    return 2\n    y\n"
+    assert edits.apply("a\nb\nc\n", "b", "")[0] == "a\n\nc\n" and edits.apply("a\n\tb\nc\n", " b\n", "")[0] == "a\nc\n"
+    for text, old in (("a\nb\na\nb\n", " a\n b"), ("x\ny\n", "q"), ("a\n1\n2\n3\n4\n5\nz\n", "a\n7\n8\nz"), ("  a\n1\n  a\n2\n", "a\n9"), ("t", "\n")):
+        with pytest.raises(ValueError):
+            edits.apply(text, old, "new")
     assert edits.spaced("a\nb") == "a\n\nb\n"
     assert diffs.parse(edits.fallback_diff([("f.py", "same", "same")])) != []
     assert diffs.parse(edits.unified("f.py", "a\n", "b\n")) == [("f.py", "a", "b")]
@@ -53,6 +59,7 @@ def test_syntax():
     assert edits.syntax("a.py", "x = 1") == 1 and edits.syntax("a.py", "x =") == 0
     assert edits.syntax("a.json", '{"a": 1}') == 1 and edits.syntax("a.json", "{") == 0
     assert edits.syntax("a.toml", "a = 1") == 1 and edits.syntax("a.xml", "<a>") == 0
+    assert edits.syntax("a.yaml", "a: [1, 2]\n---\nb: !x 3\n") == 1 and edits.syntax("b.yml", "a: [1\nb: }") == 0
     assert edits.syntax("a.zig", "???") == 1 and edits.syntax(None, None) == 1
 
 
@@ -205,7 +212,12 @@ def test_models(spark):
 
     assert models.ask(flaky, "p" * 400_000, 0.1, sleep=waits.append) == ("done", None) and calls == [10_000] * 3 and 2 <= waits[0] <= 4 <= waits[1] <= 6
     assert models.ask(lambda *a: 1 / 0, "p", 0.1, sleep=waits.append)[1].startswith("ZeroDivisionError") and len(waits) == 2
-    assert not models.retryable("402 connection") and models.retryable("Timed out")
+    assert not models.retryable("402 connection", "hosted") and models.retryable("Timed out")
+
+    class Status(Exception):
+        status_code = 409
+
+    assert models.retryable(Status("value 1500"), "status") and not models.retryable("value 1500", "status") and not models.retryable(Status("no"), "hosted")
     prompts = spark.createDataFrame([("i", "hello")], "issue string, text string")
     got = models.answers(prompts, lambda: lambda p, t, room: f"{p} {t}").orderBy("t").collect()
     assert len(got) == 11 and got[3].answer == "hello 0.3"
