@@ -98,6 +98,19 @@ def is_safe(path: Column) -> Column:
     return ~path.rlike(r"^/|^[A-Za-z]:|(^|/)\.\.(/|$)") & (F.trim(path) != "")
 
 
+def is_solution(path: Column) -> Column:
+    """Neither a README nor below a top folder of documentation, tests or examples."""
+    low = F.lower(F.trim(path))
+    name = F.substring_index(low, "/", -1)
+    return ~((name == "readme") | name.startswith("readme.") | low.rlike(r"^(docs|tests?|examples?)/"))
+
+
+def changed_text(changes: Column) -> Column:
+    """The changed lines of rows as parse_diff gives them: each file's removed ones and added ones, blank texts left out."""
+    parts = F.flatten(F.transform(changes, lambda c: F.array(c["removed"], c["added"])))
+    return F.array_join(F.filter(parts, lambda x: x.rlike(r"\S")), "\n")
+
+
 def gold_recall(gold: Column, prompt: Column) -> Column:
     """Percentage of the gold list's entries that the prompt has; 0 for an empty list."""
     hits = F.size(F.filter(gold, lambda x: F.array_contains(prompt, x)))

@@ -22,15 +22,19 @@ def interval(values: np.ndarray, seed: int, draws: int = DRAWS) -> tuple[float |
     return float(low), float(high)
 
 
-def bootstrap(deltas: DataFrame) -> DataFrame:
-    """passing, issues, mean, low, high, text from rows (passing int, issue, delta double). A group is the issues with
-    one number of passing candidates; its seed follows from its place among those numbers."""
-    counts = {r.passing: k for k, r in enumerate(deltas.select("passing").distinct().orderBy("passing").collect(), 1)}
+def bootstrap(deltas: DataFrame, numbers: list[int], by_threshold: bool = False) -> DataFrame:
+    """passing, [t10,] issues, mean, low, high, text from rows (passing int, [t10 int,] issue, delta double). A group is
+    the issues with one number of passing candidates (at one threshold); its seed follows from its place among those
+    numbers, which are those of all issues, comparable or not."""
+    counts = {m: k for k, m in enumerate(sorted(set(numbers)), 1)}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = int(pdf["passing"].iloc[0])
         v = pdf.sort_values("issue")["delta"].to_numpy()
-        low, high = interval(v, SEED + 1000 * counts[m] + m)
-        return pd.DataFrame([{"passing": m, "issues": len(v), "mean": float(v.mean()), "low": low, "high": high, "text": "NA" if low is None else f"[{low:.4f}, {high:.4f}]"}])
+        key = {"passing": m, "t10": int(pdf["t10"].iloc[0])} if by_threshold else {"passing": m}
+        seed = SEED + 10_000 * counts[m] + key["t10"] - 1 if by_threshold else SEED + 1000 * counts[m] + m
+        low, high = interval(v, seed)
+        return pd.DataFrame([key | {"issues": len(v), "mean": float(v.mean()), "low": low, "high": high, "text": "NA" if low is None else f"[{low:.4f}, {high:.4f}]"}])
 
-    return deltas.groupBy("passing").applyInPandas(run, "passing int, issues long, mean double, low double, high double, text string")
+    keys = ["passing", "t10"] if by_threshold else ["passing"]
+    return deltas.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} int" for k in keys) + ", issues long, mean double, low double, high double, text string")

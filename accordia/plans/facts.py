@@ -28,15 +28,20 @@ SELECT issue, repo, lang, t, cast(v AS int) AS v, array_join(tok, ' ') AS remove
 """
 VALID = "syntax = 1 AND status IN ('0', '1') AND added <> ''"
 
+#: Of each distinct text of an issue, named by the least candidate that has it.
 GRAMS = f"""
-WITH a AS (SELECT *, {text.tokens('added')} AS tok FROM candidate),
-b AS (SELECT issue, t, valid, size(tok) AS len, {', '.join(f"{text.grams('tok', n)} AS s{n}" for n in range(1, 5))} FROM a)
-SELECT issue, t, valid, len, {', '.join(f"{text.occurrences(f's{n}')} AS g{n}" for n in range(1, 5))} FROM b
+WITH a AS (SELECT issue, rep, {text.tokens('added')} AS tok FROM (SELECT issue, added, min(t) AS rep FROM candidate GROUP BY issue, added)),
+b AS (SELECT issue, rep, size(tok) AS len, {', '.join(f"{text.grams('tok', n)} AS s{n}" for n in range(1, 5))} FROM a)
+SELECT issue, rep, len, {', '.join(f"{text.occurrences(f's{n}')} AS g{n}" for n in range(1, 5))} FROM b
 """
+#: Distinct texts are compared once, each with itself too, and their scores go to all pairs of candidates.
 PAIR = f"""
-WITH m AS (SELECT a.issue, a.t AS i, b.t AS j, a.valid AND b.valid AS valid, a.len AS la, b.len AS lb, {', '.join(f'size(array_intersect(a.g{n}, b.g{n})) AS m{n}' for n in range(1, 5))}
-  FROM grams a JOIN grams b ON a.issue = b.issue AND a.t < b.t)
-SELECT issue, i, j, valid, {text.symmetric('la', 'lb')} AS score FROM m
+WITH m AS (SELECT a.issue, a.rep AS ri, b.rep AS rj, a.len AS la, b.len AS lb, {', '.join(f'size(array_intersect(a.g{n}, b.g{n})) AS m{n}' for n in range(1, 5))}
+  FROM grams a JOIN grams b ON a.issue = b.issue AND a.rep <= b.rep),
+s AS (SELECT issue, ri, rj, {text.symmetric('la', 'lb')} AS score FROM m),
+c AS (SELECT issue, t, valid, min(t) OVER (PARTITION BY issue, added) AS rep FROM candidate),
+p AS (SELECT x.issue, x.t AS i, y.t AS j, x.valid AND y.valid AS valid, least(x.rep, y.rep) AS ri, greatest(x.rep, y.rep) AS rj FROM c x JOIN c y ON x.issue = y.issue AND x.t < y.t)
+SELECT p.issue, p.i, p.j, p.valid, s.score FROM p JOIN s ON p.issue = s.issue AND p.ri = s.ri AND p.rj = s.rj
 """
 ISSUE = """
 WITH s AS (SELECT issue, cast(count_if(valid) AS int) AS n, cast(count_if(valid AND status = '1') AS int) AS m, max(status = '1') AS raw_pass FROM candidate GROUP BY issue)
@@ -45,8 +50,8 @@ SELECT issue, n, m, raw_pass, CASE WHEN n = 0 THEN NULL WHEN raw_pass AND m > 0
 #: Max-min closure: the best path between two candidates is as strong as its weakest step. cid counts first appearances.
 LABEL = """
 WITH c AS (SELECT issue, array_sort(collect_list(t)) AS ts FROM candidate WHERE valid GROUP BY issue),
-p AS (SELECT issue, map_from_entries(collect_list(struct(i * 1024 + j, score))) AS s FROM pair WHERE valid GROUP BY issue),
-m AS (SELECT c.issue, ts, transform(ts, x -> transform(ts, y -> if(x = y, 1D, coalesce(s[least(x, y) * 1024 + greatest(x, y)], 0D)))) AS w FROM c LEFT JOIN p ON c.issue = p.issue),
+p AS (SELECT issue, map_from_entries(collect_list(struct(struct(i, j), score))) AS s FROM pair WHERE valid GROUP BY issue),
+m AS (SELECT c.issue, ts, transform(ts, x -> transform(ts, y -> if(x = y, 1D, coalesce(s[struct(least(x, y) AS i, greatest(x, y) AS j)], 0D)))) AS w FROM c LEFT JOIN p ON c.issue = p.issue),
 k AS (SELECT issue, ts, aggregate(sequence(0, size(w) - 1), w, (acc, k) -> transform(acc, r -> zip_with(r, acc[k], (x, y) -> greatest(x, least(r[k], y))))) AS w FROM m),
 e AS (SELECT issue, ts, w, explode(sequence(1, 9)) AS t10 FROM k),
 r AS (SELECT issue, ts, t10, transform(w, r -> array_position(transform(r, x -> x >= t10 / 10D), true)) AS rep FROM e),
@@ -139,13 +144,24 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CANDIDATE).selectExpr("*", f"{VALID} AS valid")
 
 
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files that candidates come from, so that facts of files that changed are made anew."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        return tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in (fs.listStatus(path) or [])))
+    except Exception:  # noqa: BLE001  a store that can't be listed has its name only
+        return ()
+
+
 def tables(spark: SparkSession, sf_dir: str, upto: str = "selection", source: DataFrame | None = None, pairs: DataFrame | None = None) -> dict[str, DataFrame]:
     """The fact tables of an input folder, each written once into the shared folder; also registered as views.
 
     Made as far as `upto`; a later call goes on from there. With `source`, sf_dir is only a name for a study of those
     candidates; with `pairs` (issue, i, j, score), scores come from there instead of BLEU of the added texts.
     """
-    made = _made.setdefault(spark.sparkContext, {}).setdefault(sf_dir, {})
+    key = sf_dir if source is not None else (sf_dir, _listing(spark, sf_dir))
+    made = _made.setdefault(spark.sparkContext, {}).setdefault(key, {})
     for name, sql in STEPS.items():
         if name not in made:
             if name == "candidate":

@@ -201,10 +201,61 @@ def q_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("issue", F.concat(F.lit("https://github.com/"), owner, F.lit("/"), name, F.lit("/issues/"), no).alias("link"), F.concat_ws("_", F.translate(key, "/.", "__"), F.lit("run")).alias("run_id"))
 
 
-def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .catalog import report
 
-    return stats.bootstrap(report("agreement_vs_union")(spark, sf_dir).join(spark.table("issue"), "issue").select(F.col("m").alias("passing"), "issue", "delta"))
+    report("comparison_gaps")(spark, sf_dir)  # registers the view, whose values aren't rounded
+    return spark.table("gaps").select("issue", "t10", F.col("m").alias("passing"), (F.col("agree") - F.col("uni")).alias("d"), "agree", "uni")
+
+
+def _passing(spark: SparkSession) -> list[int]:
+    """The numbers of passing candidates of solvable issues: no more than an issue has candidates."""
+    return [r.m for r in spark.table("issue").where("subset = 'solvable'").select("m").distinct().collect()]
+
+
+def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _gaps(spark, sf_dir).groupBy("passing", "issue").agg((F.avg("agree") - F.avg("uni")).alias("delta"))
+    return stats.bootstrap(per, _passing(spark))
+
+
+def q_bootstrap_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of each number of passing candidates at each threshold."""
+    return stats.bootstrap(_gaps(spark, sf_dir).select("passing", F.col("t10").cast("int").alias("t10"), "issue", F.col("d").alias("delta")), _passing(spark), True)
+
+
+def q_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result cells with their syntax; some ids come twice, and every ninth issue has no syntax row."""
+    c, wide = _candidates(spark, sf_dir), _wide(spark, sf_dir)
+    marks = c.where("issue % 9 <> 0").groupBy(F.col("issue").alias("instance_id")).pivot("t", list(range(11))).agg(F.first("syntax"))
+    marks = marks.select("instance_id", *[F.col(f"`{t}`").alias(f"temp_{t / 10:.1f}") for t in range(11)])
+    return files.candidate_cells(wide.unionByName(wide.where("instance_id % 4 = 0")), marks)
+
+
+def q_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = ["docs/a.rst", "README.md", "src/readme", "tests/x.py", "lib/tests/x.py", "Examples/a.py", "src/core.py", "test/b.py", "readme_of.py"]
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, places)), (F.col("doc_id") % len(places) + 1).cast("int")).alias("path"))
+    return d.where(diffs.is_solution(F.col("path")))
+
+
+def q_changed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diffs(spark, sf_dir).select("issue", "t", diffs.changed_text(diffs.parse_diff("diff")).alias("changed"))
+
+
+def q_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("FAIL_TO_PASS"), F.col("lang").alias("pass_to_pass"), F.lit("-").alias("PASS_TO_PASS_"))
+    return files.with_aliases(d, {"fail_to_pass": "FAIL_TO_PASS", "language": "pass_to_pass", "none": "nothing"}).select("doc_id", F.col("fail_to_pass").alias("f"), F.col("language").alias("p"))
+
+
+def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold text and repository of every cell's issue."""
+    c = _candidates(spark, sf_dir).withColumnRenamed("issue", "instance_id")
+    return files.lookup(c.select("instance_id", "t"), c.where("t = 0").select("instance_id", "repo", F.col("removed").alias("gold")), ["repo", "gold"])
+
+
+def q_gold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File-aware scores against the gold patch, here the changes of candidate 0."""
+    f = patch_files(spark, sf_dir)
+    return decomposition(f.where("t > 0"), f.where("t = 0")).select("issue", F.col("j").alias("t"), *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("main", "jaccard", "shared_only", "calibrated")])
 
 
 def q_codebleu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +302,8 @@ QUERIES = {
     "decomposition": q_decomposition, "jaccard_pairs": q_jaccard, "gt_bleu_vector": q_gold, "cosine_pairs": q_cosine, "exp_calibrated": q_calibrated, "weighted_pool": q_pool,
     "embedding_cache_miss": q_misses, "even_chunks": q_chunks, "diff_files": q_diff_files, "diff_parse": q_diff_parse, "edit_extract": q_edit_extract, "edit_apply": q_edit_apply,
     "syntax_check": q_syntax, "gold_file_recall": q_recall, "ext_filter": q_ext, "token_budget": q_budget, "retry_class": q_retry, "unpivot_results": q_unpivot, "shard_concat": q_shards,
-    "report_status": q_report_status, "prompt_assembly": q_prompt, "issue_links": q_links, "bootstrap_ci": q_bootstrap, "codebleu_pairs": q_codebleu, "incremental_latest": q_incremental,
+    "report_status": q_report_status, "prompt_assembly": q_prompt, "issue_links": q_links, "bootstrap_ci": q_bootstrap, "subgroup_threshold_ci": q_bootstrap_t, "result_syntax_cells": q_cells, "solution_files": q_solution, "changed_text": q_changed_text,
+    "alias_columns": q_aliases, "instance_lookup": q_lookup, "gold_file_scores": q_gold_files, "codebleu_pairs": q_codebleu, "incremental_latest": q_incremental,
 }
 
 _FILE_SQL = {
@@ -280,6 +332,15 @@ ORACLES = {
 SELECT p.issue, p.i, p.j, round(coalesce(sum(f.s), 0) / max(a.c + b.c - coalesce(f.n, 0)) + 1e-9, 6) AS main, round(coalesce(max(f.n), 0) / (1e0 * max(a.c + b.c - coalesce(f.n, 0))) + 1e-9, 6) AS jaccard, round(coalesce(avg(f.s), 0e0) + 1e-9, 6) AS shared_only, round(coalesce(sum(exp(-(1 - f.s) / 0.5e0)), 0) / max(a.c + b.c - coalesce(f.n, 0)) + 1e-9, 6) AS calibrated
 FROM (SELECT DISTINCT a.issue, a.t AS i, b.t AS j FROM patch_file a JOIN patch_file b ON a.issue = b.issue AND a.t < b.t) p JOIN fcount a ON a.issue = p.issue AND a.t = p.i JOIN fcount b ON b.issue = p.issue AND b.t = p.j
 LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY issue, i, j) AS n FROM fscore) f ON f.issue = p.issue AND f.i = p.i AND f.j = p.j GROUP BY p.issue, p.i, p.j"""),
+    "gold_file_scores": _o("""
+SELECT b.issue, b.t, round(coalesce(sum(f.s), 0) / max(a.c + b.c - coalesce(f.n, 0)) + 1e-9, 6) AS main, round(coalesce(max(f.n), 0) / (1e0 * max(a.c + b.c - coalesce(f.n, 0))) + 1e-9, 6) AS jaccard,
+  round(coalesce(avg(f.s), 0e0) + 1e-9, 6) AS shared_only, round(coalesce(sum(exp(-(1 - f.s) / 0.5e0)), 0) / max(a.c + b.c - coalesce(f.n, 0)) + 1e-9, 6) AS calibrated
+FROM fcount a JOIN fcount b ON a.issue = b.issue AND a.t = 0 AND b.t > 0 LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY issue, i, j) AS n FROM fscore) f ON f.issue = b.issue AND f.i = 0 AND f.j = b.t GROUP BY b.issue, b.t"""),
+    "result_syntax_cells": _o("SELECT issue AS instance_id, t, status, CAST(syntax AS VARCHAR) AS syntax FROM candidate WHERE issue % 9 <> 0"),
+    "solution_files": "SELECT doc_id, CASE doc_id % 9 WHEN 4 THEN 'lib/tests/x.py' WHEN 6 THEN 'src/core.py' ELSE 'readme_of.py' END AS path FROM documents WHERE doc_id % 9 IN (4, 6, 8)",
+    "changed_text": _o("SELECT issue, t, coalesce(string_agg(x, chr(10) ORDER BY file, k), '') AS changed FROM (SELECT issue, t, file, 0 AS k, removed AS x FROM patch_file UNION ALL SELECT issue, t, file, 1, added FROM patch_file) WHERE trim(x) <> '' GROUP BY issue, t"),
+    "alias_columns": "SELECT doc_id, source AS f, lang AS p FROM documents",
+    "instance_lookup": _o("SELECT c.issue AS instance_id, c.t, g.repo, g.removed AS gold FROM candidate c JOIN candidate g ON g.issue = c.issue AND g.t = 0"),
     "jaccard_pairs": _o("""
 SELECT a.issue, a.t AS i, b.t AS j, round(coalesce(s.n, 0) / (1e0 * (a.c + b.c - coalesce(s.n, 0))), 6) AS jaccard FROM fcount a JOIN fcount b ON a.issue = b.issue AND a.t < b.t
 LEFT JOIN (SELECT x.issue, x.t AS i, y.t AS j, count(*) AS n FROM patch_file x JOIN patch_file y ON x.issue = y.issue AND x.file = y.file AND x.t < y.t GROUP BY ALL) s ON s.issue = a.issue AND s.i = a.t AND s.j = b.t"""),

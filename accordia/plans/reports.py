@@ -11,6 +11,17 @@ STRATEGIES = ("largest", "smallest", "singleton_union", "singleton_furthest")
 #: Below this many issues a mean is left out.
 SUPPORT = 10
 
+#: Small constant tables, so that cells without an issue have their row.
+TENTHS = " UNION ALL ".join(f"SELECT {t} AS t10" for t in range(1, 10))
+ALL_WAYS = ("largest", "smallest", "densest", "oracle", "oracle_roc_auc", "singleton_furthest", "singleton_union")
+WAYS7 = " UNION ALL ".join(f"SELECT '{s}' AS strategy" for s in ALL_WAYS)
+HALVES = "SELECT 'solvable' AS subset UNION ALL SELECT 'nonsolvable' AS subset"
+KINDS3 = " UNION ALL ".join(f"SELECT '{g}' AS grp" for g in ("majority", "minority", "disagreement"))
+#: Mean advantage of clusters of two or more, and that of the union of singletons, where an issue has both.
+GAPS = """
+SELECT issue, t10, m, agree, 100e0 * st / sc - 100e0 * m / n AS uni FROM (SELECT issue, t10, max(n) AS n, max(m) AS m, avg(CASE WHEN size >= 2 THEN 100e0 * tp / size - 100e0 * m / n END) AS agree,
+  sum(CASE WHEN size = 1 THEN tp END) AS st, sum(CASE WHEN size = 1 THEN 1 END) AS sc FROM cluster WHERE subset = 'solvable' GROUP BY issue, t10) x WHERE agree IS NOT NULL AND sc IS NOT NULL
+"""
 DEFS = "SELECT '1-Majority' AS definition UNION ALL SELECT '2-Largest' AS definition"
 #: Majority, minority and disagreement groups of each issue and threshold under both definitions.
 GROUPS = """
@@ -44,15 +55,13 @@ SELECT definition, t10, cast(coalesce(sum(CASE WHEN subset = 'solvable' THEN wit
   cast(coalesce(sum(CASE WHEN subset = 'nonsolvable' THEN with_majority END), 0) AS bigint) AS c, cast(coalesce(sum(CASE WHEN subset = 'nonsolvable' THEN valid_issues - with_majority END), 0) AS bigint) AS d
 FROM prevalence GROUP BY definition, t10
 """
-#: Logarithms of factorials up to the largest margin, as a running sum.
-FACTORIALS = "SELECT 0 AS x, 0e0 AS lf UNION ALL SELECT x, sum(ln(x)) OVER (ORDER BY x) AS lf FROM (SELECT DISTINCT cast(a AS int) AS x FROM numbers WHERE a > 0)"
+#: Two-sided exact test: all tables of the same margins that are no likelier. SERIES and LF (ln of a factorial) are spelled by dialect.
 FISHER = """
 WITH w AS (SELECT t.*, a + b AS r1, c + d AS r2, a + c AS c1, a + b + c + d AS n FROM tables2x2 t),
-x AS (SELECT w.definition, w.t10, w.a AS seen, num.a AS x, r1, r2, c1, n FROM w JOIN numbers num ON num.a >= greatest(0, c1 - r2) AND num.a <= least(r1, c1)),
-p AS (SELECT x.definition, x.t10, x.x, seen, f1.lf + f2.lf + f3.lf + f4.lf - f5.lf - f6.lf - f7.lf - f8.lf - f9.lf AS lp FROM x
-  JOIN factorials f1 ON f1.x = r1 JOIN factorials f2 ON f2.x = r2 JOIN factorials f3 ON f3.x = c1 JOIN factorials f4 ON f4.x = n - c1
-  JOIN factorials f5 ON f5.x = n JOIN factorials f6 ON f6.x = x.x JOIN factorials f7 ON f7.x = r1 - x.x JOIN factorials f8 ON f8.x = c1 - x.x JOIN factorials f9 ON f9.x = r2 - c1 + x.x),
-s AS (SELECT definition, t10, max(CASE WHEN x = seen THEN lp END) AS at_seen FROM p GROUP BY definition, t10)
+y AS (SELECT w.*, SERIES[greatest(0, c1 - r2); least(r1, c1); 65536] AS low FROM w),
+x AS (SELECT y.*, SERIES[low; least(low + 65535, least(r1, c1)); 1] AS x FROM y),
+p AS (SELECT definition, t10, a, x, LF[r1] + LF[r2] + LF[c1] + LF[n - c1] - LF[n] - LF[x] - LF[r1 - x] - LF[c1 - x] - LF[r2 - c1 + x] AS lp FROM x),
+s AS (SELECT definition, t10, max(CASE WHEN x = a THEN lp END) AS at_seen FROM p GROUP BY definition, t10)
 SELECT p.definition, p.t10, least(1e0, sum(CASE WHEN p.lp <= s.at_seen + 1e-7 THEN exp(p.lp) ELSE 0e0 END)) AS p_value FROM p JOIN s ON p.definition = s.definition AND p.t10 = s.t10 GROUP BY p.definition, p.t10
 """
 ODDS = """
@@ -61,7 +70,7 @@ SELECT t.*, CASE WHEN a + b = 0 OR c + d = 0 OR a + c = 0 OR b + d = 0 THEN 1e0
   CASE WHEN a * b * c * d = 0 THEN 0.5e0 ELSE 0e0 END AS h
 FROM tables2x2 t LEFT JOIN fisher f ON t.definition = f.definition AND t.t10 = f.t10
 """
-DERIVED = {"defs": DEFS, "groups": GROUPS, "frame": FRAME, "cases": CASES, "prevalence": PREVALENCE, "tables2x2": TABLES2X2, "numbers": "SELECT cast(issue_no AS bigint) AS a FROM (SELECT row_number() OVER (ORDER BY issue) - 1 AS issue_no FROM issue)", "factorials": FACTORIALS, "fisher": FISHER, "odds": ODDS}
+DERIVED = {"tenths": TENTHS, "ways7": WAYS7, "halves": HALVES, "kinds3": KINDS3, "gaps": GAPS, "defs": DEFS, "groups": GROUPS, "frame": FRAME, "cases": CASES, "prevalence": PREVALENCE, "tables2x2": TABLES2X2, "fisher": FISHER, "odds": ODDS}
 
 _AT = lambda x, agg="max": ", ".join(f"{agg}(CASE WHEN t10 = {t} THEN {x} END) AS t{t}" for t in range(1, 10))
 _METRICS = ("precision", "recall", "f1", "specificity", "mcc", "roc_auc", "pr_auc", "density")
@@ -71,11 +80,11 @@ _PU = "CASE WHEN k >= 2 THEN precision * (1 - size / (1e0 * n)) END"
 
 def _utility(u: str) -> str:
     return f"""
-WITH u AS (SELECT strategy, issue, t10, {u} AS u FROM selection WHERE strategy IN {STRATEGIES} AND subset = 'solvable'),
+WITH u AS (SELECT strategy, t10, count({u}) AS c, avg({u}) AS mean, sum({u}) AS total FROM selection WHERE subset = 'solvable' GROUP BY strategy, t10),
 f AS (SELECT t10, count(*) AS issues FROM frame WHERE subset = 'solvable' GROUP BY t10)
-SELECT u.strategy, u.t10, cast(count(u.u) AS bigint) AS available, cast(max(f.issues) AS bigint) AS issues, round(100 * count(u.u) / (1e0 * max(f.issues)), 6) AS availability_percent,
-  CASE WHEN count(u.u) > {SUPPORT} THEN round(100 * avg(u.u), 6) END AS conditional_percent, CASE WHEN count(u.u) > {SUPPORT} THEN round(100 * sum(u.u) / max(f.issues), 6) END AS adjusted_percent
-FROM u JOIN f ON u.t10 = f.t10 GROUP BY u.strategy, u.t10"""
+SELECT w.strategy, x.t10, cast(coalesce(u.c, 0) AS bigint) AS available, cast(coalesce(f.issues, 0) AS bigint) AS issues, round(100 * coalesce(u.c, 0) / (1e0 * f.issues), 6) AS availability_percent,
+  CASE WHEN u.c > {SUPPORT} THEN round(100 * u.mean, 6) END AS conditional_percent, CASE WHEN u.c > {SUPPORT} THEN round(100 * u.total / f.issues, 6) END AS adjusted_percent
+FROM ways7 w CROSS JOIN tenths x LEFT JOIN f ON f.t10 = x.t10 LEFT JOIN u ON u.strategy = w.strategy AND u.t10 = x.t10 WHERE w.strategy IN {STRATEGIES}"""
 
 
 REPORTS: dict[str, str] = {
@@ -119,13 +128,17 @@ SELECT bins.missing, cast(count(gone.issue) AS bigint) AS issues FROM bins LEFT
     "threshold_summary": "SELECT strategy, issue, subset, t10, n, m, k, coalesce(cid, -1) AS cid, size, tp, fp, fn, tn, " + ", ".join(f"round({x}, 6) AS {x}" for x in _METRICS) + " FROM selection",
     "threshold_averages": f"""
 WITH f AS (SELECT subset, t10, count(*) AS issues FROM frame WHERE subset IS NOT NULL GROUP BY subset, t10)
-SELECT s.subset, s.strategy, s.t10, cast(count(*) AS bigint) AS available, cast(max(f.issues) AS bigint) AS issues, round(count(*) / (1e0 * max(f.issues)), 6) AS availability, round(avg(1e0 * s.size), 6) AS avg_size, cast(sum(CASE WHEN s.tp = 0 THEN 1 ELSE 0 END) AS bigint) AS without_pass,
+SELECT h.subset, w.strategy, x.t10, cast(count(s.issue) AS bigint) AS available, cast(coalesce(max(f.issues), 0) AS bigint) AS issues, round(count(s.issue) / (1e0 * max(f.issues)), 6) AS availability, round(avg(1e0 * s.size), 6) AS avg_size, cast(sum(CASE WHEN s.tp = 0 THEN 1 ELSE 0 END) AS bigint) AS without_pass,
   {', '.join(f'round(avg(s.{x}), 6) AS avg_{x}' for x in _METRICS)}
-FROM selection s JOIN f ON s.subset = f.subset AND s.t10 = f.t10 GROUP BY s.subset, s.strategy, s.t10""",
+FROM halves h CROSS JOIN ways7 w CROSS JOIN tenths x LEFT JOIN f ON f.subset = h.subset AND f.t10 = x.t10 LEFT JOIN selection s ON s.subset = h.subset AND s.strategy = w.strategy AND s.t10 = x.t10 GROUP BY h.subset, w.strategy, x.t10""",
     "matched_oracle": f"""
-SELECT s.subset, s.strategy, s.t10, cast(count(*) AS bigint) AS issues, round(avg(s.f1), 6) AS avg_f1, round(avg(o.f1), 6) AS oracle_f1, round(avg(o.f1) - avg(s.f1), 6) AS gap
-FROM selection s JOIN selection o ON o.strategy = 'oracle' AND o.issue = s.issue AND o.t10 = s.t10 WHERE s.strategy IN {STRATEGIES} AND s.subset IS NOT NULL GROUP BY s.subset, s.strategy, s.t10""",
-    "strategy_availability": "WITH f AS (SELECT t10, count(*) AS issues FROM frame GROUP BY t10) SELECT s.strategy, s.t10, cast(count(*) AS bigint) AS available, round(count(*) / (1e0 * max(f.issues)), 6) AS rate FROM selection s JOIN f ON f.t10 = s.t10 GROUP BY s.strategy, s.t10",
+SELECT h.subset, w.strategy, x.t10, cast(count(s.issue) AS bigint) AS issues, round(avg(s.f1), 6) AS avg_f1, round(avg(o.f1), 6) AS oracle_f1, round(avg(o.f1) - avg(s.f1), 6) AS gap
+FROM halves h CROSS JOIN ways7 w CROSS JOIN tenths x LEFT JOIN selection s ON s.subset = h.subset AND s.strategy = w.strategy AND s.t10 = x.t10
+LEFT JOIN selection o ON o.strategy = 'oracle' AND o.issue = s.issue AND o.t10 = s.t10 WHERE w.strategy IN {STRATEGIES} GROUP BY h.subset, w.strategy, x.t10""",
+    "strategy_availability": """
+WITH f AS (SELECT t10, count(*) AS issues FROM frame GROUP BY t10)
+SELECT w.strategy, x.t10, cast(count(s.issue) AS bigint) AS available, round(count(s.issue) / (1e0 * max(f.issues)), 6) AS rate
+FROM ways7 w CROSS JOIN tenths x LEFT JOIN f ON f.t10 = x.t10 LEFT JOIN selection s ON s.strategy = w.strategy AND s.t10 = x.t10 GROUP BY w.strategy, x.t10""",
     "avg_size": "SELECT strategy, subset, " + _AT("round_size") + " FROM (SELECT strategy, subset, t10, round(avg(1e0 * size), 6) AS round_size FROM selection WHERE subset IS NOT NULL GROUP BY strategy, subset, t10) x GROUP BY strategy, subset",
     "avg_f1": "SELECT strategy, subset, " + _AT("round_f1") + " FROM (SELECT strategy, subset, t10, round(avg(f1), 6) AS round_f1 FROM selection WHERE subset IS NOT NULL GROUP BY strategy, subset, t10) x GROUP BY strategy, subset",
     "composition_rollup": """
@@ -166,7 +179,9 @@ WITH u AS (SELECT strategy, t10, 100 * avg({_U}) AS u, count({_U}) AS c FROM sel
 b AS (SELECT *, max(CASE WHEN c > {SUPPORT} THEN u END) OVER (PARTITION BY strategy) AS top FROM u)
 SELECT strategy, min(t10) AS t10, round(max(top), 6) AS utility_percent FROM b WHERE c > {SUPPORT} AND abs(u - top) <= 1e-9 GROUP BY strategy""",
     "utility_by_issue": f"SELECT issue, strategy, {_AT('round(' + _U + ', 6)')} FROM selection WHERE strategy IN {STRATEGIES} GROUP BY issue, strategy",
-    "strategy_precision": f"SELECT strategy, t10, cast(count(*) AS bigint) AS available, cast(sum(CASE WHEN tp > 0 THEN 1 ELSE 0 END) AS bigint) AS with_correct, round(avg(precision), 6) AS mean_precision FROM selection WHERE strategy IN {STRATEGIES} AND subset = 'solvable' GROUP BY strategy, t10",
+    "strategy_precision": f"""
+SELECT w.strategy, x.t10, cast(count(s.issue) AS bigint) AS available, cast(sum(CASE WHEN s.tp > 0 THEN 1 ELSE 0 END) AS bigint) AS with_correct, round(avg(s.precision), 6) AS mean_precision
+FROM ways7 w CROSS JOIN tenths x LEFT JOIN selection s ON s.strategy = w.strategy AND s.t10 = x.t10 AND s.subset = 'solvable' WHERE w.strategy IN {STRATEGIES} GROUP BY w.strategy, x.t10""",
     # advantage over random choice
     "advantage_long": "SELECT issue, t10, cid, size, round(100e0 * tp / size, 6) AS hit, round(100e0 * m / n, 6) AS baseline, round(100e0 * tp / size - 100e0 * m / n, 6) AS advantage FROM cluster WHERE subset = 'solvable'",
     "advantage_compact": "SELECT issue, t10, LISTAGG[cast(size AS varchar(9)); size DESC, cid] AS sizes, LISTAGG[cast(tp AS varchar(9)); size DESC, cid] AS hits FROM cluster WHERE subset = 'solvable' GROUP BY issue, t10",
@@ -200,7 +215,9 @@ p AS (SELECT *, row_number() OVER (PARTITION BY definition ORDER BY tier, CASE W
 SELECT definition, t10, tier FROM p WHERE place = 1""",
     # coverage, false positives, gains
     "rq2_coverage": "SELECT definition, grp, " + _AT("v") + " FROM (SELECT definition, grp, t10, round(avg(tp / (1e0 * m)), 6) AS v FROM groups WHERE subset = 'solvable' GROUP BY definition, grp, t10) x GROUP BY definition, grp",
-    "rq2_counts": "SELECT definition, grp, t10, cast(count(*) AS bigint) AS available, cast(sum(CASE WHEN tp > 0 THEN 1 ELSE 0 END) AS bigint) AS with_correct FROM groups WHERE subset = 'solvable' GROUP BY definition, grp, t10",
+    "rq2_counts": """
+SELECT d.definition, k.grp, x.t10, cast(count(g.issue) AS bigint) AS available, cast(sum(CASE WHEN g.tp > 0 THEN 1 ELSE 0 END) AS bigint) AS with_correct
+FROM defs d CROSS JOIN kinds3 k CROSS JOIN tenths x LEFT JOIN groups g ON g.definition = d.definition AND g.grp = k.grp AND g.t10 = x.t10 AND g.subset = 'solvable' GROUP BY d.definition, k.grp, x.t10""",
     "rq2_fp": "SELECT definition, grp, " + _AT("v") + " FROM (SELECT definition, grp, t10, round(avg(1e0 * (size - tp)), 6) AS v FROM groups WHERE subset = 'solvable' AND tp > 0 GROUP BY definition, grp, t10) x GROUP BY definition, grp",
     "rq2_main": "SELECT definition, " + ", ".join(f"cast(sum(CASE WHEN grp = '{g}' THEN 1 ELSE 0 END) AS bigint) AS {g}_n, cast(sum(CASE WHEN grp = '{g}' AND tp > 0 THEN 1 ELSE 0 END) AS bigint) AS {g}_correct_n, round(avg(CASE WHEN grp = '{g}' THEN tp / (1e0 * m) END), 6) AS {g}_coverage, round(avg(CASE WHEN grp = '{g}' AND tp > 0 THEN 1e0 * (size - tp) END), 6) AS {g}_fp" for g in ("majority", "minority", "disagreement")) + " FROM groups WHERE subset = 'solvable' AND t10 = 9 GROUP BY definition",
     "rq3_gain": "SELECT definition, issue, grp, " + _AT("round(gain, 6)") + " FROM cases GROUP BY definition, issue, grp",
@@ -212,13 +229,35 @@ SELECT definition, m AS passing, t10, round(100 * avg(CASE WHEN maj - dis > 1e-9
     "rq3_case_summary": "SELECT definition, m AS correct_fixes, " + ", ".join(f"cast(sum(CASE WHEN grp = '{g}' THEN 1 ELSE 0 END) AS bigint) AS {g}_available, cast(sum(CASE WHEN grp = '{g}' THEN correct ELSE 0 END) AS bigint) AS {g}_with_correct, round(100 * avg(CASE WHEN grp = '{g}' THEN 1e0 * correct END), 6) AS {g}_ratio" for g in ("majority", "minority", "disagreement")) + " FROM cases GROUP BY definition, m",
     "rq3_main": "SELECT definition, grp, " + ", ".join(f"round(avg(CASE WHEN m = {k} THEN CASE WHEN gain > 1e-9 THEN 1e0 ELSE 0e0 END END), 6) AS m{k}" for k in range(1, 12)) + " FROM cases WHERE t10 = 9 GROUP BY definition, grp",
     "latex_f1": """
-SELECT strategy, concat(strategy, ' & ', replace(LISTAGG[cell; t10], '|', ' & ')) AS line FROM (SELECT strategy, t10, cast(cast(round(1000 * avg(f1)) AS bigint) AS varchar(9)) AS cell FROM selection WHERE subset = 'solvable' GROUP BY strategy, t10) x GROUP BY strategy""",
+WITH c AS (SELECT w.strategy, x.t10, h.subset, cast(round(1000 * avg(s.f1)) AS bigint) AS v FROM halves h CROSS JOIN ways7 w CROSS JOIN tenths x LEFT JOIN selection s ON s.subset = h.subset AND s.strategy = w.strategy AND s.t10 = x.t10 GROUP BY w.strategy, x.t10, h.subset),
+z AS (SELECT strategy, t10, subset, CASE WHEN v IS NULL THEN '--' ELSE concat(cast((v - v % 1000) / 1000 AS int), '.', lpad(cast(v % 1000 AS varchar(9)), 3, '0')) END AS cell FROM c)
+SELECT strategy, concat(strategy, ' & ', replace(LISTAGG[cell; t10, subset], '|', ' & ')) AS line FROM z GROUP BY strategy""",
+    "issue_tables_by_threshold": "SELECT f.t10, f.issue, f.subset, f.n, f.m, f.n - f.m AS fails, f.k, f.multi, f.singles, f.pattern, round(f.fragmentation, 6) AS fragmentation, " + ", ".join(f"max(CASE WHEN s.strategy = '{w}' THEN round(s.f1, 6) END) AS {w}_f1, cast(max(CASE WHEN s.strategy = '{w}' THEN 1 ELSE 0 END) AS int) AS {w}_available" for w in ("oracle", *STRATEGIES)) + " FROM frame f LEFT JOIN selection s ON s.issue = f.issue AND s.t10 = f.t10 GROUP BY f.t10, f.issue, f.subset, f.n, f.m, f.k, f.multi, f.singles, f.pattern, f.fragmentation",
+    "configured_avg_f1": "SELECT 'fixture' AS dataset, 'variants' AS model, 'bleu' AS metric, h.subset, w.strategy, x.t10, round(avg(s.f1), 6) AS f1 FROM halves h CROSS JOIN ways7 w CROSS JOIN tenths x LEFT JOIN selection s ON s.subset = h.subset AND s.strategy = w.strategy AND s.t10 = x.t10 GROUP BY h.subset, w.strategy, x.t10",
+    "subset_partition": """
+WITH a AS (SELECT issue, n, subset, CASE WHEN raw_pass AND m > 0 THEN 1 ELSE 0 END AS s, CASE WHEN n > 0 AND NOT raw_pass THEN 1 ELSE 0 END AS o FROM issue)
+SELECT cast(count(*) AS bigint) AS issues, cast(sum(s) AS bigint) AS solvable, cast(sum(o) AS bigint) AS nonsolvable, cast(sum(CASE WHEN s + o > 1 THEN 1 ELSE 0 END) AS bigint) AS in_both, cast(sum(CASE WHEN s + o = 0 THEN 1 ELSE 0 END) AS bigint) AS dropped,
+  cast(sum(CASE WHEN s + o = 0 AND subset IS NOT NULL OR s + o = 1 AND subset IS NULL THEN 1 ELSE 0 END) AS bigint) AS misplaced FROM a""",
+    "subgroup_by_threshold": """
+WITH s AS (SELECT m, count(DISTINCT issue) AS total FROM frame WHERE subset = 'solvable' GROUP BY m)
+SELECT s.m AS passing, x.t10, cast(max(s.total) AS bigint) AS total_issues, cast(count(g.issue) AS bigint) AS issues, round(avg(g.agree), 6) AS agreement, round(avg(g.uni), 6) AS singleton_union, round(avg(g.agree - g.uni), 6) AS delta,
+  round(avg(CASE WHEN g.agree - g.uni > 1e-12 THEN 100e0 WHEN g.issue IS NOT NULL THEN 0e0 END), 6) AS better_percent
+FROM s CROSS JOIN tenths x LEFT JOIN gaps g ON g.m = s.m AND g.t10 = x.t10 GROUP BY s.m, x.t10""",
+    "comparison_gaps": "SELECT issue, t10, m AS passing, round(agree, 6) + 0e0 AS agreement, round(uni, 6) + 0e0 AS singleton_union FROM gaps",
     "invariants": """
 SELECT cast(sum(CASE WHEN s.size < 1 OR s.size > s.n OR s.tp < 0 OR s.tp > s.size THEN 1 ELSE 0 END) AS bigint) AS bad_sizes, cast(sum(CASE WHEN s.strategy IN ('largest', 'smallest', 'singleton_furthest') AND s.f1 > o.f1 + 1e-9 THEN 1 ELSE 0 END) AS bigint) AS above_oracle, cast(count(DISTINCT o.issue) AS bigint) AS issues
 FROM selection s JOIN selection o ON o.strategy = 'oracle' AND o.issue = s.issue AND o.t10 = s.t10""",
 } | {f"select_{s}": f"SELECT issue, t10, coalesce(cid, -1) AS cid, size, tp, round(f1, 6) AS f1 FROM selection WHERE strategy = '{s}'" for s in ("largest", "smallest", "densest", "singleton_furthest", "singleton_union", "oracle", "oracle_roc_auc")}
 
 
+def _log_factorial(n: str) -> str:
+    """By Stirling's series, to 1e-11, above what factorial() takes."""
+    x = f"cast({n} AS double)"
+    return f"(CASE WHEN {n} <= 20 THEN ln(factorial(cast({n} AS int))) ELSE {x} * ln({x}) - {x} + 0.5D * ln(2 * pi() * {x}) + 1 / (12 * {x}) - 1 / (360 * pow({x}, 3)) + 1 / (1260 * pow({x}, 5)) END)"
+
+
 def spell(sql: str, spark: bool) -> str:
     """The SQL in one of the dialects."""
+    sql = re.sub(r"LF\[([^\]]*)\]", lambda m: _log_factorial(f"({m[1]})") if spark else f"lgamma({m[1]} + 1e0)", sql)
+    sql = re.sub(r"SERIES\[([^;\]]*); ([^;\]]*); ([^\]]*)\]", r"explode(sequence(\1, \2, \3))" if spark else r"unnest(generate_series(\1, \2, \3))", sql)
     return re.sub(r"LISTAGG\[([^;\]]*); ([^\]]*)\]", r"listagg(\1, '|') WITHIN GROUP (ORDER BY \2)" if spark else r"string_agg(\1, '|' ORDER BY \2)", sql)

@@ -86,6 +86,33 @@ def write_matrix(pairs: DataFrame, path: str, keys: list[str]) -> None:
     wide.write.mode("overwrite").partitionBy(*keys).csv(path, header=True)
 
 
+def candidate_cells(results: DataFrame, syntax: DataFrame, key: str = "instance_id") -> DataFrame:
+    """key, t, status, syntax of the cells of a result matrix that the syntax matrix has too. Of an id that a matrix lists
+    more than once its least row, as text, counts; the keys and the temperature columns are all that is read."""
+
+    def cells(df: DataFrame, value: str) -> DataFrame:
+        cols = [c for c in df.columns if c.lower().startswith("temp_")]
+        once = df.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])).alias("r")).select(key, "r.*")
+        return unpivot_temperatures(once, [key], value)
+
+    return cells(results, "status").join(cells(syntax, "syntax"), [key, "t"])
+
+
+def with_aliases(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Columns under other names too: each missing column of `aliases` (name: the name it may have instead) is added.
+    Names that differ by case only are the same to Spark."""
+    have = {c.lower() for c in df.columns}
+    return df.select("*", *[F.col(f"`{other}`").alias(name) for name, other in aliases.items() if name.lower() not in have and other.lower() in have])
+
+
+def lookup(df: DataFrame, instances: DataFrame, columns: list[str], key: str = "instance_id") -> DataFrame:
+    """df with these columns of its instance; an id that instances lack, or have twice, is an error."""
+    known = instances.groupBy(F.trim(F.col(key).cast("string")).alias("_id")).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in columns])
+    out = df.withColumn("_id", F.trim(F.col(key).cast("string"))).join(known, "_id", "left")
+    ok = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.concat(F.lit("no instance or several: "), F.coalesce("_id", F.lit("null")))).cast("boolean"))
+    return out.where(ok).drop("_id", "_n")
+
+
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of repeated partial results the latest of each key."""
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
