@@ -49,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from . import more
 
-    return {name: reports.spell(oracle_base.with_tables(sql, reports.DERIVED), False) for name, sql in reports.REPORTS.items()} | more.ORACLES
+    return {name: reports.spell(oracle_base.with_tables(sql, reports.DERIVED | oracle_base.DERIVED), False) for name, sql in reports.REPORTS.items()} | more.ORACLES
