@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import text
 from ..sources.files import settle
 
+#: The study's fixture: each document is an issue with 11 candidates, made from its first 24 words.
 CANDIDATE = r"""
 WITH base AS (SELECT doc_id AS issue, source AS repo, lang, slice(filter(split(text, '\\s+'), x -> x <> ''), 1, 24) AS tok FROM documents),
 varied AS (SELECT *, explode(sequence(0, 10)) AS t FROM base),
@@ -26,6 +27,8 @@ SELECT issue, repo, lang, t, cast(v AS int) AS v, array_join(tok, ' ') AS remove
   CASE WHEN (issue * 3 + t) % 29 = 0 THEN 'MISSING' WHEN (issue * 3 + t) % 31 = 0 THEN 'EMPTY_PATCH' WHEN v = issue % 4 AND issue % 3 <> 0 THEN '1' ELSE '0' END AS status,
   if((issue + t) % 13 = 0, 0, 1) AS syntax FROM picked
 """
+#: The same from all words of each document.
+WHOLE = CANDIDATE.replace("slice(filter(split(text, '\\\\s+'), x -> x <> ''), 1, 24)", "filter(split(text, '\\\\s+'), x -> x <> '')")
 VALID = "syntax = 1 AND status IN ('0', '1') AND added <> ''"
 
 #: Of each distinct text of an issue, named by the least candidate that has it.

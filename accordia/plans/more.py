@@ -11,7 +11,7 @@ from ..operators import conversion, embedding
 from ..operators.patches import decomposition, gold_scores
 from ..sources import files, models
 from ..streaming.ingest import ingest, latest_cells
-from . import facts
+from . import facts, oracle_base
 from .oracle_base import _directed, with_tables
 
 
@@ -52,6 +52,16 @@ def q_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold_scores(c.select("issue", F.col("removed").alias("gold")).distinct(), c.select("issue", "t", "added"))
 
 
+def q_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all pairs of candidates that are made from whole documents: distinct texts of an issue compared once."""
+    _table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    c = files.settle(spark.sql(facts.WHOLE).where("issue IS NOT NULL").select("issue", "t", "added"), "whole")
+    distinct = c.groupBy("issue", "added").agg(F.min("t").alias("rep"))
+    text.gram_sets(distinct, "added", f"issue {c.schema['issue'].dataType.simpleString()}, rep int").repartition("issue").createOrReplaceTempView("whole_grams")
+    c.createOrReplaceTempView("whole_candidate")
+    return spark.sql(facts.PAIR.replace("FROM grams a JOIN grams b", "FROM whole_grams a JOIN whole_grams b").replace("FROM candidate", "FROM (SELECT *, true AS valid FROM whole_candidate)")).select("issue", "i", "j", "score")
+
+
 _GROUP_OF = 10
 
 
@@ -299,6 +309,7 @@ def q_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "answer_conversion": q_conversion, "conversion_totals": q_conversion_totals, "embedded_pairs": q_embedded,
+    "whole_text_pairs": q_whole,
     "decomposition": q_decomposition, "jaccard_pairs": q_jaccard, "gt_bleu_vector": q_gold, "cosine_pairs": q_cosine, "exp_calibrated": q_calibrated, "weighted_pool": q_pool,
     "embedding_cache_miss": q_misses, "even_chunks": q_chunks, "diff_files": q_diff_files, "diff_parse": q_diff_parse, "edit_extract": q_edit_extract, "edit_apply": q_edit_apply,
     "syntax_check": q_syntax, "gold_file_recall": q_recall, "ext_filter": q_ext, "token_budget": q_budget, "retry_class": q_retry, "unpivot_results": q_unpivot, "shard_concat": q_shards,
@@ -322,12 +333,23 @@ def _o(sql: str) -> str:
     return with_tables(sql, _FILE_SQL)
 
 
+#: Pairs of whole documents' candidates: n-grams of each distinct text, joined.
+_WHOLE = {
+    "wcand": oracle_base.CANDIDATE.replace("x <> '')[1:24] AS tok", "x <> '') AS tok"),
+    "wrep": "SELECT issue, t, min(t) OVER (PARTITION BY issue, added) AS rep, added FROM wcand WHERE issue IS NOT NULL",
+    "wtok": r"SELECT issue, t AS rep, list_filter(string_split_regex(added, '\s+'), lambda w: w <> '') AS tok FROM wrep WHERE t = rep",
+    "wgram": "SELECT issue, rep, n, hash(tok[p:p + n - 1]) AS g, count(*) AS c FROM (SELECT issue, rep, tok, n, unnest(generate_series(1, len(tok) - n + 1)) AS p FROM wtok, (SELECT unnest(generate_series(1, 4)) AS n)) GROUP BY ALL",
+    "whit": f"SELECT a.issue, a.rep AS ri, b.rep AS rj, {', '.join(f'sum(CASE WHEN a.n = {n} THEN least(a.c, b.c) ELSE 0 END) AS m{n}' for n in range(1, 5))} FROM wgram a JOIN wgram b ON a.issue = b.issue AND a.n = b.n AND a.g = b.g AND a.rep <= b.rep GROUP BY ALL",
+    "wscore": f"""SELECT issue, ri, rj, round(CASE WHEN la = 0 AND lb = 0 THEN 1e0 WHEN la = 0 OR lb = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, ({_directed('la', 'lb')} + {_directed('lb', 'la')}) / 2e0)) END, 6) AS score
+        FROM (SELECT a.issue, a.rep AS ri, b.rep AS rj, len(a.tok) AS la, len(b.tok) AS lb, {', '.join(f'coalesce(h.m{n}, 0) AS m{n}' for n in range(1, 5))} FROM wtok a JOIN wtok b ON a.issue = b.issue AND a.rep <= b.rep LEFT JOIN whit h ON h.issue = a.issue AND h.ri = a.rep AND h.rj = b.rep)""",
+}
 _DOT = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 _COS = f"round(greatest(-1e0, least(1e0, {_DOT.format(a='a.embedding', b='b.embedding')} / (sqrt({_DOT.format(a='a.embedding', b='a.embedding')}) * sqrt({_DOT.format(a='b.embedding', b='b.embedding')})))), 6)"
 _COSINE = f"SELECT CAST(a.vec_id // 10 AS BIGINT) AS issue, CAST(a.vec_id % 10 AS INTEGER) AS i, CAST(b.vec_id % 10 AS INTEGER) AS j, {_COS} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id // 10 = b.vec_id // 10 AND a.vec_id < b.vec_id"
 _EXT_CASE = " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(_EXTS))
 _ERR_CASE = " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(_ERRORS))
 ORACLES = {
+    "whole_text_pairs": with_tables("SELECT x.issue, x.t AS i, y.t AS j, s.score FROM wrep x JOIN wrep y ON x.issue = y.issue AND x.t < y.t JOIN wscore s ON s.issue = x.issue AND s.ri = least(x.rep, y.rep) AND s.rj = greatest(x.rep, y.rep)", _WHOLE),
     "decomposition": _o("""
 SELECT p.issue, p.i, p.j, round(coalesce(sum(f.s), 0) / max(a.c + b.c - coalesce(f.n, 0)) + 1e-9, 6) AS main, round(coalesce(max(f.n), 0) / (1e0 * max(a.c + b.c - coalesce(f.n, 0))) + 1e-9, 6) AS jaccard, round(coalesce(avg(f.s), 0e0) + 1e-9, 6) AS shared_only, round(coalesce(sum(exp(-(1 - f.s) / 0.5e0)), 0) / max(a.c + b.c - coalesce(f.n, 0)) + 1e-9, 6) AS calibrated
 FROM (SELECT DISTINCT a.issue, a.t AS i, b.t AS j FROM patch_file a JOIN patch_file b ON a.issue = b.issue AND a.t < b.t) p JOIN fcount a ON a.issue = p.issue AND a.t = p.i JOIN fcount b ON b.issue = p.issue AND b.t = p.j
