@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shlex
 
 from pyspark.sql import Column
@@ -11,6 +12,9 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 CHANGES = ArrayType(StructType([StructField("file", StringType()), StructField("removed", StringType()), StructField("added", StringType())]))
 
 
+_HUNK = re.compile(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@")
+
+
 def _path(header: str) -> str | None:
     """A path without quotes, timestamp and a/ or b/; None for /dev/null and nothing."""
     name = header.split("\t")[0].strip()
@@ -27,19 +31,31 @@ def _path(header: str) -> str | None:
 def parse(diff: str | None) -> list[tuple[str, str, str]]:
     """One row per changed file in order of appearance, its removed and added lines of all hunks joined.
 
-    A file's target path names it; a deleted file keeps its source path. Context, metadata and lines in a hunk that
-    begin with +++ or --- count for nothing. A file without a hunk still has its row. Null and blank: no rows.
+    A file's target path names it; a deleted file keeps its source path. A hunk has the lines that its header counts, so
+    that a changed line may begin with -- or ++, or hold other line separators. Context, metadata and lines beyond those
+    counts, or without them, that begin with +++ or --- count for nothing. A file without a hunk still has its row. Null
+    and blank: no rows.
     """
     rows: dict[str, tuple[list[str], list[str]]] = {}
     source = name = None
     inside = False
-    lines = (diff or "").splitlines()
+    lines = re.split(r"\r?\n", diff or "")
     skip = False
+    left = {"-": 0, "+": 0}
     for line, after in zip(lines, [*lines[1:], ""], strict=False):
         if skip:
             skip = False
             continue
+        if left.get(line[:1], 0) > 0:
+            left[line[0]] -= 1
+            if name is not None:
+                rows.setdefault(name, ([], []))[line[0] == "+"].append(line[1:])
+            continue
+        if line[:1] in ("", " ") and min(left.values()) > 0:
+            left = {k: n - 1 for k, n in left.items()}
+            continue
         if line.startswith("diff --git "):
+            left = {"-": 0, "+": 0}
             try:
                 words = shlex.split(line)[2:]
             except ValueError:
@@ -51,6 +67,8 @@ def parse(diff: str | None) -> list[tuple[str, str, str]]:
             name, inside, skip = _path(after[4:]) or source, False, True
         elif line.startswith("@@"):
             inside = True
+            if counts := _HUNK.match(line):
+                left = {"-": int(counts[1] or 1), "+": int(counts[2] or 1)}
         else:
             if inside and name is not None and line[:3] not in ("+++", "---") and line[:1] in ("+", "-"):
                 rows.setdefault(name, ([], []))[line[0] == "+"].append(line[1:])

@@ -63,3 +63,14 @@ def test_whole_documents_once_shuffled(spark, tmp_path):
     assert len(got) == 55 * len(texts)
     for (k, i, j), score in got.items():
         assert score == pytest.approx(plain(own[k][i], own[k][j]), abs=1e-6)
+
+
+def test_changed_lines_like_headers(spark, tmp_path):
+    assert diffs.parse("diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n keep\n--- x\x85y\n+++ z\n@@ -9 +9 @@\n---q\n+++\n") == [("f", "-- x\x85y\n--q", "++ z\n++")]
+    texts = ["-- a b", "++ a b", "--- a", "@@ -1 +1 @@", "a\x1cb c d", "diff --git a/x b/x"]
+    spark.createDataFrame(list(enumerate(texts, 10)), "doc_id long, text string").selectExpr("*", "'r' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.issue, r.t): r.changed for r in catalog.queries()["changed_text"](spark, str(tmp_path)).collect()}
+    want = {}
+    for r in more.patch_files(spark, str(tmp_path)).orderBy("file").collect():
+        want.setdefault((r.issue, r.t), []).extend(x for x in (r.removed, r.added) if x.strip())
+    assert got == {k: "\n".join(v) for k, v in want.items()}
