@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import pairs, text
 
 
 def with_grams(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -30,30 +30,12 @@ def decomposition(files: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     with gold (issue, file, removed, added), for the gold patch as i = -1 against every candidate j.
 
     main is the sum over shared files of their score, over the size of the union; a file's score is the mean of its
-    channels that aren't both empty. Pairs without a shared file score 0. Equal changes of a file are compared once, with
-    n-grams that are made once; only shared files are joined, and the union comes from the counts.
+    channels that aren't both empty. Pairs without a shared file score 0. Equal texts of a file are compared once; an
+    issue's rows meet in one batch, so nothing is joined, and the union comes from the counts.
     """
-    wanted = F.col("i") < F.col("j")
     if gold is not None:
         files = gold.select("issue", F.lit(-1).alias("t"), "file", "removed", "added").unionByName(files.select("issue", "t", "file", "removed", "added"))
-        wanted = (F.col("i") == -1) & (F.col("j") >= 0)
-    rep = F.min("t").over(Window.partitionBy("issue", "file", "removed", "added"))
-    named = files.withColumn("rep", rep)
-    sides = with_grams(with_grams(named.where("t = rep").dropDuplicates(["issue", "file", "rep"]), "removed", "r"), "added", "a").repartition("issue", "file")
-    keep = [c for c in sides.columns if c not in ("issue", "t", "file", "rep")]
-    left = sides.select("issue", F.col("rep").alias("ri"), "file", *[F.col(c).alias(f"x{c}") for c in keep])
-    right = sides.select("issue", F.col("rep").alias("rj"), "file", *[F.col(c).alias(f"y{c}") for c in keep])
-    both = left.join(right, ["issue", "file"]).where("ri <= rj")
-    both = channel(channel(both, "xr", "yr", "removed"), "xa", "ya", "added")
-    score = F.coalesce((F.coalesce("removed", F.lit(0.0)) + F.coalesce("added", F.lit(0.0))) / F.nullif(F.col("removed").isNotNull().cast("int") + F.col("added").isNotNull().cast("int"), F.lit(0)), F.lit(0.0))
-    scores = both.select("issue", "file", "ri", "rj", score.alias("s"))
-    cells = named.select("issue", "file", "t", "rep")
-    met = cells.select("issue", "file", F.col("t").alias("i"), F.col("rep").alias("a")).join(cells.select("issue", "file", F.col("t").alias("j"), F.col("rep").alias("b")), ["issue", "file"]).where(wanted)
-    met = met.select("issue", "file", "i", "j", F.least("a", "b").alias("ri"), F.greatest("a", "b").alias("rj")).join(scores, ["issue", "file", "ri", "rj"])
-    shared = met.groupBy("issue", "i", "j").agg(F.sum("s").alias("total"), F.sum(F.exp(-(1 - F.col("s")) / 0.5)).alias("warm"), F.count("*").alias("shared"))
-    counts = files.groupBy("issue", "t").agg(F.count_distinct("file").alias("c"))
-    pairs = counts.select("issue", F.col("t").alias("i"), F.col("c").alias("ca")).join(counts.select("issue", F.col("t").alias("j"), F.col("c").alias("cb")), "issue").where(wanted)
-    out = pairs.join(shared, ["issue", "i", "j"], "left").fillna(0, ["total", "warm", "shared"])
+    out = pairs.file_scores(files, gold is not None)
     union = F.col("ca") + F.col("cb") - F.col("shared")
     alone = F.when(F.col("shared") > 0, F.col("total") / F.col("shared")).otherwise(0.0)
     return out.select("issue", "i", "j", (F.col("total") / union).alias("main"), (F.col("shared") / union).alias("jaccard"), alone.alias("shared_only"), (F.col("warm") / union).alias("calibrated"))

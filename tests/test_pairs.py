@@ -51,6 +51,34 @@ def test_counts_against_counting(spark, monkeypatch):
         assert got[k][0] == ok and got[k][1] == pytest.approx(score, abs=1e-6)
 
 
+def test_file_scores_against_counting(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, t, f, *some(rng, 2)) for k in range(12) for t in range(-1, 5) for f in "fgh" if rng.random() < 0.7]
+    rows += [(1, 0, None, "a", "b"), (None, 0, "f", "a", "b"), (None, 1, "f", "a", "b")]
+    df = spark.createDataFrame(rows, "issue int, t int, file string, removed string, added string")
+    by = {}
+    for k, t, f, a, b in rows:
+        by.setdefault((k, t), {})[f] = (a, b)
+
+    def blank(s):
+        return not [w for w in split(s) if w]
+
+    def check(got, wanted):
+        want = {(k, i, j) for k, i in by for m, j in by if k == m and k is not None and wanted(i, j)}
+        assert {(r.issue, r.i, r.j) for r in got} == want
+        for r in got:
+            x, y = by[r.issue, r.i], by[r.issue, r.j]
+            each = []
+            for f in x.keys() & y.keys() - {None}:
+                s = [plain(a, b) for a, b in zip(x[f], y[f], strict=True) if not (blank(a) and blank(b))]
+                each.append(sum(s) / len(s) if s else 0.0)
+            union = len((x.keys() | y.keys()) - {None})
+            assert r.main == pytest.approx(sum(each) / union, abs=1e-5) and r.jaccard == pytest.approx(len(each) / union)
+
+    check([r for r in patches.decomposition(df.where("t >= 0")).collect()], lambda i, j: 0 <= i < j)
+    check([r for r in patches.decomposition(df.where("t >= 0"), df.where("t = -1").drop("t")).collect()], lambda i, j: i == -1 and j >= 0)
+
+
 def test_whole_documents_once_shuffled(spark, tmp_path):
     texts = ["a\xa0b c\x85d e f g h", " ".join(map(str, range(300))), "", None, "one"]
     spark.createDataFrame(list(enumerate(texts, 10)), "doc_id long, text string").selectExpr("*", "'r' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
