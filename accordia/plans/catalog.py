@@ -32,7 +32,8 @@ def run_report(spark: SparkSession, name: str, make: Callable[[str], object]) ->
         derived += more
         text += "".join(reports.DERIVED[n] for n in more)
     for n in [n for n in reports.DERIVED if n in derived]:
-        spark.sql(reports.spell(reports.DERIVED[n], True)).createOrReplaceTempView(n)
+        df = spark.sql(reports.spell(reports.DERIVED[n], True))
+        (df if n in reports.CONSTANT else df.hint("merge")).createOrReplaceTempView(n)
     return spark.sql(reports.spell(sql, True))
 
 

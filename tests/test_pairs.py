@@ -79,6 +79,34 @@ def test_file_scores_against_counting(spark):
     check([r for r in patches.decomposition(df.where("t >= 0"), df.where("t = -1").drop("t")).collect()], lambda i, j: i == -1 and j >= 0)
 
 
+def test_no_table_is_broadcast_for_its_files(spark, sf, monkeypatch):
+    plans, settle = [], facts.settle
+    monkeypatch.setattr(facts, "settle", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), settle(df, name))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30).selectExpr("doc_id AS issue", "explode(sequence(0, 5)) AS t", "text AS added", "'1' AS status", "1 AS syntax")
+    study = Study(spark, docs)
+    for name in ("advantage_by_size", "rq1_tstar", "matched_oracle", "invariants"):
+        plans.append((name, study.report(name)._jdf.queryExecution().executedPlan().toString()))
+    assert {"pair", "cluster", "selection"} <= {n for n, _ in plans}
+    assert [n for n, p in plans if "BroadcastHashJoin" in p] == []
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_reports_on_candidates_make_no_pairs(spark, sf, monkeypatch):
+    made, settle = [], facts.settle
+    monkeypatch.setattr(facts, "settle", lambda df, name: (made.append(name), settle(df, name))[1])
+    study = Study(spark, facts.candidates(spark, sf).drop("valid"))
+    for name in ("pass_histogram", "missing_cells", "repo_totals", "solvable_partition"):
+        assert study.report(name).count()
+    assert made == ["candidate"]
+
+
+def test_candidates_have_the_first_words(spark, tmp_path):
+    texts = ["  " + " ".join(map(str, range(60))), "\x0b1\t2\n", " ".join(map(str, range(24))), " ".join(map(str, range(25))), "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'r' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.issue: r.removed for r in facts.candidates(spark, str(tmp_path)).where("t = 0").collect()}
+    assert got == {i: s if s is None else " ".join([w for w in split(s) if w][:24]) for i, s in enumerate(texts)}
+
+
 def test_whole_documents_once_shuffled(spark, tmp_path):
     texts = ["a\xa0b c\x85d e f g h", " ".join(map(str, range(300))), "", None, "one"]
     spark.createDataFrame(list(enumerate(texts, 10)), "doc_id long, text string").selectExpr("*", "'r' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
