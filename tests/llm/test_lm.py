@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -73,3 +74,20 @@ def test_odd_rows(odd, empty):
     nothing = lm.scores(odd, lm.train(empty)).collect()
     assert len(nothing) == len(got) and all(r.n_known == 0 and r.train_tokens == 0 and r.score == 0 for r in nothing)
     assert lm.scores(empty, lm.train(odd)).count() == 0
+
+
+def test_exact_columns_on_odd_rows(spark, tmp_path, monkeypatch):
+    for name, small in (("VOCAB_CHARS", 2000), ("SHARD_CHARS", 1000), ("GATHER", 50), ("MAPPED", 3)):
+        monkeypatch.setattr(lm, name, small)
+    rng = np.random.default_rng(4)
+    letters = [*map(chr, range(0x30)), "A", "b", "\x85", "\xa0", "\u3000", "\u0130", "\xc9"]
+    rows = [(i, "".join(rng.choice(letters, rng.integers(0, 200)))) for i in range(120)]
+    rows += [(None, "a b"), (1, None), (2, ""), (2, " "), (-4, "A a"), (5, "x\0 x \0 \0\0"), (6, "w" * 5000), (2**63 - 1, "q"), (-(2**63), "R r")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))), None]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(w for i, t in rows if not held(i) for w in split(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted((-1 if i is None else i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for i, w in ((i, split(t)) for i, t in rows))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm.op4_lm_scoring(spark, str(tmp_path)).collect())
+    assert [g[:5] for g in got] == [w[:5] for w in want] and [g[5] for g in got] == pytest.approx([w[5] for w in want], abs=1e-5)
