@@ -130,3 +130,31 @@ def test_changed_lines_like_headers(spark, tmp_path):
     for r in more.patch_files(spark, str(tmp_path)).orderBy("file").collect():
         want.setdefault((r.issue, r.t), []).extend(x for x in (r.removed, r.added) if x.strip())
     assert got == {k: "\n".join(v) for k, v in want.items()}
+
+
+def test_clusters_take_one_shuffle_and_no_join(spark, sf, monkeypatch):
+    plans, settle = {}, facts.settle
+    monkeypatch.setattr(facts, "settle", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), settle(df, name))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30).selectExpr("doc_id AS issue", "explode(sequence(0, 5)) AS t", "text AS added", "'1' AS status", "1 AS syntax")
+    Study(spark, docs).table("selection")
+    assert {n: p.count("Exchange") for n, p in plans.items() if n in ("cluster", "selection")} == {"cluster": 1, "selection": 0}
+    assert [n for n in ("cluster", "selection", "pair") if "Join" in plans[n]] == []
+
+
+def test_clusters_of_few_and_missing_pairs(spark):
+    """Twelve candidates, of which five have pairs: a missing pair is no link, and counts in no mean."""
+    rows = [(1, t, f"x{t}", "1" if t in (0, 3) else "0", int(t != 4)) for t in range(12)] + [(2, 7, "y", "1", 1), (3, 0, "z", "1", 0)]
+    df = spark.createDataFrame(rows, "issue long, t int, added string, status string, syntax int")
+    scores = spark.createDataFrame([(1, 0, 1, 0.9), (1, 1, 2, 0.5), (1, 0, 2, None), (1, 2, 3, 0.1), (1, 0, 4, 1.0)], "issue long, i int, j int, score double")
+    study = Study(spark, df, scores)
+    at5 = {(r.issue, r.t): r.cid for r in study.table("label").where("t10 = 5").collect()}
+    assert at5 == {(1, t): max(0, t - 2 - (t > 4)) for t in range(12) if t != 4} | {(2, 7): 0}
+    got = {(r.issue, r.t10, r.cid): r for r in study.table("cluster").collect()}
+    r = got[1, 5, 0]
+    assert (r.n, r.m, r.size, r.tp, r.fp, r.fn, r.tn, r.k, r.multi, r.subset) == (11, 2, 3, 1, 2, 1, 7, 9, 1, "solvable")
+    assert (r.density, r.precision, r.recall) == (0.7, round(1 / 3, 9), 0.5)
+    # reach: candidate 0: (1 + 0.9) / 2, 1: (0.9 + 1 + 0.5) / 3, 2: (0.5 + 1) / 2, 3: 0.1; others aren't seen
+    assert (r.roc_auc, r.pr_auc) == (round((4 + 1 - 3) / 4, 9), round((1 + 2 / 4) / 2, 9))
+    assert got[2, 9, 0].density == 1.0 and not any(k == 3 for k, _, _ in got)
+    union = study.table("selection").where("strategy = 'singleton_union' AND issue = 1 AND t10 = 5").collect()
+    assert [(r.size, r.tp, r.k) for r in union] == [(8, 1, 9)]
