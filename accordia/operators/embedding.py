@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions import pairs, vectors
+
+#: Pairs whose cosines are taken at once.
+PAIRS = 20_000
 
 
 class Provider(Protocol):
@@ -64,17 +71,57 @@ def channel_vectors(files: DataFrame, provider: Provider, config: str, cache: Da
     return out, new
 
 
+def _cosines(vectors_: np.ndarray, blank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the vectors a and b, clipped; NaN where both are blank, 0 where one is, or where a vector is zero."""
+    out = np.zeros(len(a))
+    norms = np.sqrt((vectors_ * vectors_).sum(1))
+    for k in range(0, len(a), PAIRS):
+        x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+        n = norms[x] * norms[y]
+        out[k : k + PAIRS] = np.where(n == 0, 0.0, np.clip(np.einsum("ij,ij->i", vectors_[x], vectors_[y]) / np.where(n == 0, 1, n), -1, 1))
+    return np.where(blank[a] & blank[b], np.nan, np.where(blank[a] | blank[b], 0.0, out))
+
+
+def _by_vector(column, row, group, groups, x, y):
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    there = np.asarray(pc.is_valid(column))
+    known = column.filter(pa.array(there))
+    own = np.array(known.flatten(), np.float64).reshape(len(known), -1) if len(known) else np.zeros((0, 1))
+    table = np.concatenate([own, np.zeros((1, own.shape[1]))])
+    place = np.where(there, np.cumsum(there) - 1, len(own))[row]
+    return _cosines(table, np.arange(len(table)) == len(own), place[x], place[y])
+
+
+def _by_text(provider: Provider, most: int, budget: int) -> Callable:
+    def compare(column, row, group, groups, x, y):
+        coded = pairs.strings(column).dictionary_encode()
+        texts = coded.dictionary.to_pylist()
+        blank = np.array([not s.strip(" ") for s in texts], bool)
+        vectors_: list[list[float]] = []
+        for batch in vectors.request_batches([(s, len(s.split())) for s, no in zip(texts, blank.tolist(), strict=True) if not no], most, budget):
+            vectors_ += provider.embed([s for s, _ in batch])
+        table = np.zeros((len(texts), len(vectors_[0]) if vectors_ else 1))
+        if vectors_:
+            table[~blank] = vectors_
+        place = np.asarray(coded.indices).astype(np.int64)[row]
+        return _cosines(table, blank, place[x], place[y])
+
+    return compare
+
+
+def _shares(out: DataFrame) -> DataFrame:
+    union = F.col("ca") + F.col("cb") - F.col("shared")
+    return out.select("issue", "i", "j", (F.col("warm") / union).alias("main"), (F.col("shared") / union).alias("jaccard"), F.when(F.col("shared") > 0, F.col("warm") / F.col("shared")).otherwise(0.0).alias("shared_only"), (F.col("total") / union).alias("raw"))
+
+
 def decomposition(files: DataFrame) -> DataFrame:
     """issue, i, j, main, jaccard, shared_only, raw from rows (issue, t, file, r, a). A file's score is the mean cosine of
     the channels that aren't blank on both sides, 0 where one is; main is over the calibrated scores, raw over the plain."""
-    side = lambda t, s: files.select("issue", F.col("t").alias(t), "file", F.col("r").alias(f"r{s}"), F.col("a").alias(f"a{s}"))
-    both = side("i", 1).join(side("j", 2), ["issue", "file"]).where("i < j")
-    score = lambda c: F.when(F.col(f"{c}1").isNull() & F.col(f"{c}2").isNull(), None).when(F.col(f"{c}1").isNull() | F.col(f"{c}2").isNull(), 0.0).otherwise(vectors.cosine(F.col(f"{c}1"), F.col(f"{c}2")))
-    both = both.select("issue", "i", "j", score("r").alias("r"), score("a").alias("a"))
-    mean = F.coalesce((F.coalesce("r", F.lit(0.0)) + F.coalesce("a", F.lit(0.0))) / F.nullif(F.col("r").isNotNull().cast("int") + F.col("a").isNotNull().cast("int"), F.lit(0)), F.lit(0.0))
-    shared = both.select("issue", "i", "j", mean.alias("s")).groupBy("issue", "i", "j").agg(F.sum("s").alias("raw"), F.sum(vectors.calibrated(F.col("s"))).alias("warm"), F.count("*").alias("n"))
-    counts = files.groupBy("issue", "t").agg(F.count_distinct("file").alias("c"))
-    pairs = counts.select("issue", F.col("t").alias("i"), F.col("c").alias("ca")).join(counts.select("issue", F.col("t").alias("j"), F.col("c").alias("cb")), "issue").where("i < j")
-    out = pairs.join(shared, ["issue", "i", "j"], "left").fillna(0, ["raw", "warm", "n"])
-    union = F.col("ca") + F.col("cb") - F.col("n")
-    return out.select("issue", "i", "j", (F.col("warm") / union).alias("main"), (F.col("n") / union).alias("jaccard"), F.when(F.col("n") > 0, F.col("warm") / F.col("n")).otherwise(0.0).alias("shared_only"), (F.col("raw") / union).alias("raw"))
+    return _shares(pairs.file_scores(files, channels=("r", "a"), compare=_by_vector))
+
+
+def text_decomposition(files: DataFrame, provider: Provider, most: int = 1000, budget: int = 115_000) -> DataFrame:
+    """decomposition() of rows (issue, t, file, removed, added), embedded where they are compared: vectors are neither shuffled
+    nor joined. A batch of issues has each of its channel's texts embedded once; a text of several batches is embedded in
+    each, so where that is dear, channel_vectors() and a cache come first."""
+    return _shares(pairs.file_scores(files, compare=_by_text(provider, most, budget)))

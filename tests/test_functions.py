@@ -199,6 +199,25 @@ def test_embedding_cache(spark):
     assert more.count() == 0 and again.where("r IS NOT NULL").count() == 2
 
 
+def test_embedded_texts_are_neither_joined_nor_shuffled_as_vectors(spark):
+    from accordia.operators import embedding
+
+    rows = [(1, 0, "f", "a b", ""), (1, 1, "f", "a b c", None), (1, 2, "f", " ", "x y"), (1, 2, "g", "q", "a b"), (1, 3, "g", "a", "a b"), (1, 4, None, "a", "b"), (2, 0, "f", "a", "b"), (None, 0, "f", "a", "b"), (None, 1, "f", "a", "b"), (3, 5, "f", "z", "\t"), (3, 6, "f", "z", "\t")]
+    df = spark.createDataFrame(rows, "issue int, t int, file string, removed string, added string")
+    got = embedding.text_decomposition(df, embedding.Hashing(16))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    vec = dict(zip(texts := ["a b", "a b c", "x y", "q", "a"], embedding.Hashing(16).embed(texts), strict=True))
+    dot = lambda x, y: max(-1.0, min(1.0, sum(a * b for a, b in zip(vec[x], vec[y], strict=True))))
+    want = {(1, 0, 1): dot("a b", "a b c"), (1, 0, 2): 0.0, (1, 1, 2): 0.0, (1, 2, 3): (dot("q", "a") + 1) / 2 / 2, (3, 5, 6): 0.5}
+    raw = {(r.issue, r.i, r.j): r.raw for r in got.collect()}
+    for k, x in want.items():
+        assert raw[k] == pytest.approx(x / (2 if k == (1, 0, 2) or k == (1, 1, 2) else 1)), k
+    assert len(raw) == 11 and raw[1, 0, 4] == 0.0 and not any(k[0] in (None, 2) for k in raw)
+    files_, _ = embedding.channel_vectors(df, embedding.Hashing(16), "v")
+    assert {(r.issue, r.i, r.j): pytest.approx(r.raw) for r in embedding.decomposition(files_).collect()} == raw
+
+
 def test_models(spark):
     from accordia.sources import models
 
