@@ -15,6 +15,8 @@ from . import common
 from .bpe import encoder, with_ends
 
 TOKENIZER, END, ROOM = "byte_bpe_50k.json", 0, 2048
+#: Bytes of texts that are encoded at once; the arrays made of them are many times as large, in each of an executor's workers.
+SLICE = 1 << 20
 #: Runs of the plan that are sent to every task, at most; more are joined by blocks of ranks.
 SENT = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, local long"
@@ -31,7 +33,7 @@ def cut(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END, room: in
         chunk, seen = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in common.slices(batch, "text", 3 << 20):
+            for part in common.slices(batch, "text", SLICE):
                 ids, n = with_ends(*enc.encode(part.column("text")), end_id)
                 raw, base = memoryview(ids.tobytes()), np.cumsum(n) - n
                 k = -(-n // room)

@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from accordia.llm import packing
+from accordia.llm import common, packing
 from accordia.llm.bpe import encoder
 
 
@@ -78,3 +80,10 @@ def test_odd_rows(odd, empty):
     assert sum(r.piece == 0 for r in rows) == odd.count()
     check(rows)
     assert packing.pack(empty).count() == 0
+
+
+def test_texts_are_encoded_in_small_slices():
+    """Two workers' arrays of 3 MB of text each took an executor over its memory in the pipeline."""
+    texts = pa.record_batch({"text": ["word " * 1000] * 1500})
+    runs = [pc.sum(pc.binary_length(x.column("text"))).as_py() for x in common.slices(texts, "text", packing.SLICE)]
+    assert sum(runs) == 7_500_000 and max(runs) < 1.1 * 2**20
