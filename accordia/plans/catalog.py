@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import files
 from . import facts, oracle_base, reports
 
 FACTS = ("candidate", "pair", "issue", "label", "sim", "cluster", "ranked", "selection")
@@ -33,6 +34,8 @@ def run_report(spark: SparkSession, name: str, make: Callable[[str], object]) ->
         text += "".join(reports.DERIVED[n] for n in more)
     for n in [n for n in reports.DERIVED if n in derived]:
         df = spark.sql(reports.spell(reports.DERIVED[n], True))
+        if n == "tables2x2" and "odds" in derived:  # which reads it several times over
+            df = files.settle(df, n)
         (df if n in reports.CONSTANT else df.hint("merge")).createOrReplaceTempView(n)
     return spark.sql(reports.spell(sql, True))
 

@@ -158,3 +158,15 @@ def test_clusters_of_few_and_missing_pairs(spark):
     assert got[2, 9, 0].density == 1.0 and not any(k == 3 for k, _, _ in got)
     union = study.table("selection").where("strategy = 'singleton_union' AND issue = 1 AND t10 = 5").collect()
     assert [(r.size, r.tp, r.k) for r in union] == [(8, 1, 9)]
+
+
+def test_reports_make_only_what_they_read(spark, sf, monkeypatch):
+    plans, settle = {}, facts.settle
+    monkeypatch.setattr(facts, "settle", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), settle(df, name))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30).selectExpr("doc_id AS issue", "explode(sequence(0, 5)) AS t", "text AS added", "'1' AS status", "1 AS syntax")
+    study = Study(spark, docs)
+    assert study.report("confusion").count()
+    assert list(plans) == ["candidate", "pair", "cluster"]
+    tstar = study.report("rq1_tstar")
+    assert list(plans) == ["candidate", "pair", "cluster", "selection"] and plans["selection"].count("FileScan") == 2
+    assert tstar.inputFiles() and all("/tables2x2-" in f for f in tstar.inputFiles())
