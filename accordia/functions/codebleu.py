@@ -11,9 +11,14 @@ import keyword
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .pairs import clipped, coded_words, squares
+
 
 def _weight(g: tuple[str, ...]) -> float:
     return 1.0 if keyword.iskeyword(g[0]) else 0.2
@@ -55,13 +60,8 @@ class Side:
         self.total = [float(max(sum(x.values()), 1)) for x in self.grams]
         self.weighted = sum(c * _weight(g) for g, c in self.grams[0].items())
         self.trees = self.flow = None
-        if lang == "python":
-            try:
-                tree, trees = ast.parse(text), Counter()
-                _trees(tree, trees)
-                self.trees, self.flow = trees, _flow(tree)
-            except (SyntaxError, ValueError, RecursionError):
-                self.trees = None
+        if parsed := _parsed(text, lang):
+            self.trees, self.flow = parsed
 
 
 def _bleus(a: Side, b: Side) -> list[float]:
@@ -95,19 +95,50 @@ def score(a: str, b: str, lang: str = "python") -> float:
     return _score(Side(a, lang), Side(b, lang))
 
 
-def pairs(texts: list[str | None], lang: str) -> list[tuple[int, int, float]]:
-    """Places and symmetric score of all pairs of texts; each distinct text is taken apart once, each distinct pair scored once."""
-    texts = [x or "" for x in texts]
-    sides = {x: Side(x, lang) for x in set(texts)}
-    known: dict[tuple[str, str], float] = {}
-    out = []
-    for j, y in enumerate(texts):
-        for i, x in enumerate(texts[:j]):
-            if (s := known.get((x, y))) is None:
-                s = (_score(sides[x], sides[y]) + _score(sides[y], sides[x])) / 2 if x.strip() and y.strip() else float(x.strip() == y.strip())
-                known[x, y] = known[y, x] = s
-            out.append((i, j, s))
-    return out
+def _parsed(text: str, lang: str) -> tuple[Counter, Counter] | None:
+    if lang != "python":
+        return None
+    try:
+        tree, trees = ast.parse(text), Counter()
+        _trees(tree, trees)
+        return trees, _flow(tree)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+
+
+def scores(texts: pa.Array, group: np.ndarray, size: np.ndarray, lang: str) -> np.ndarray:
+    """Symmetric score of all ordered pairs of texts that pairs.squares(size) lists; group ascends. N-grams of a group's
+    texts are matched side by side, each text is parsed once; trees are compared of the pairs that parse."""
+    owner, known, named, at = coded_words(pc.utf8_split_whitespace(texts))
+    key = np.array([keyword.iskeyword(w) for w in known.to_pylist()], bool)[at] if len(at) else np.zeros(0, bool)
+    length, keys = (np.bincount(o, minlength=len(texts)) for o in (owner, owner[key]))
+    m, hit_keys = clipped(owner, named[at], group, size), clipped(owner[key], named[at][key], group, size, 1)[0]
+    weighted = 0.2 * (length - keys) + keys
+    x, y, _ = squares(size)
+    any_ = m[0] > 0
+    more = lambda a, n: np.log(np.where(m[n] == 0, 0.1, m[n]) / np.maximum(a - n, 1)) / 4
+
+    def directed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        a, b = length[x], length[y]
+        short = np.where(a > b, 1.0, np.exp(1 - b / np.maximum(a, 1)))
+        total = np.zeros(len(x))
+        for hit, of in ((m[0], a), (0.2 * (m[0] - hit_keys) + hit_keys, weighted[x])):
+            logs = np.log(np.where(any_, hit, 1) / np.where(any_, of, 1)) / 4
+            for n in range(1, len(m)):
+                logs = logs + more(a, n)
+            total += np.where(any_, np.exp(logs) * short, 0.0)
+        return total
+
+    one, other, parts = directed(x, y), directed(y, x), np.full(len(x), 2.0)
+    trees = [_parsed(s, lang) for s in texts.to_pylist()]
+    parses = np.array([t is not None for t in trees], bool)
+    for k in np.flatnonzero(parses[x] & parses[y]).tolist():
+        (tree_a, flow_a), (tree_b, flow_b) = trees[x[k]], trees[y[k]]
+        one[k] += _share(tree_b, tree_a) + _share(flow_b, flow_a)
+        other[k] += _share(tree_a, tree_b) + _share(flow_a, flow_b)
+        parts[k] = 4.0
+    blank = length == 0
+    return np.where(blank[x] | blank[y], (blank[x] & blank[y]).astype(float), (one / parts + other / parts) / 2)
 
 
 @F.udf(DoubleType(), useArrow=True)

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from accordia.functions import diffs, pairs, text
+from accordia.functions import codebleu, diffs, pairs, text
 from accordia.operators import patches
 from accordia.plans import catalog, facts, more
 from accordia.plans.study import Study
@@ -170,3 +170,20 @@ def test_reports_make_only_what_they_read(spark, sf, monkeypatch):
     tstar = study.report("rq1_tstar")
     assert list(plans) == ["candidate", "pair", "cluster", "selection"] and plans["selection"].count("FileScan") == 2
     assert tstar.inputFiles() and all("/tables2x2-" in f for f in tstar.inputFiles())
+
+
+def test_codebleu_side_by_side(spark, tmp_path):
+    import pyarrow as pa
+
+    white = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = ["", " \n", "if x in y", "if  x in x in y", "a = b\nc = a + b", "a = b\nc = b", "x", "return return 1", "".join(f"w{k}{c}" for k, c in enumerate(white)), " ".join(f"w{k}" for k in range(len(white))), "a\x1cb", "a b", "d = e\nf = d"]
+    size = np.array([9, 1, 3])
+    got, (x, y, _) = codebleu.scores(pa.array(texts, pa.large_string()), np.repeat([0, 1, 2], size), size, "python"), pairs.squares(size)
+    for a, b, s in zip(x.tolist(), y.tolist(), got, strict=True):
+        a, b = texts[a], texts[b]
+        want = (codebleu.score(a, b) + codebleu.score(b, a)) / 2 if a.strip() and b.strip() else float(a.strip() == b.strip())
+        assert s == pytest.approx(want, abs=1e-12), (a, b)
+    spark.createDataFrame(list(enumerate(texts)) + [(None, "a b")], "doc_id long, text string").selectExpr("*", "'r' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.queries()["codebleu_pairs"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and df.count() == 55 * len(texts)
