@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import edits
+from ..functions.pairs import by_issue, codes
 
 RESULT = StructType([StructField(n, StringType()) for n in ("patch", "syntax", "kinds")])
 FALLBACK = "ARTIFICIAL_FALLBACK_DIFF"
@@ -39,15 +42,35 @@ def convert(answer: str | None, sources: dict[str, str] | None) -> tuple[str | N
 
 
 @F.udf(RESULT, useArrow=True)
-def _convert(answer, paths, texts):
-    return convert(answer, dict(zip(paths or [], texts or [], strict=True)))
+def _convert(answer):
+    return convert(answer, None)
 
 
 def predictions(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """issue, t, patch, syntax, kinds from answers (issue, t, answer) and sources (issue, path, content)."""
-    files = sources.groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("path", "content"))).alias("f"))
-    both = answers.join(files, "issue", "left")
-    return both.select("issue", "t", _convert("answer", F.col("f.path"), F.col("f.content")).alias("r")).select("issue", "t", "r.*")
+    """issue, t, patch, syntax, kinds from answers (issue, t, answer) and sources (issue, path, content). Both are dealt by
+    issue together, without a join; an issue's equal answers are converted once. Of a path that comes twice the last
+    content counts, by their order."""
+    kind, place = (answers.schema[c].dataType.simpleString() for c in ("issue", "t"))
+    own = answers.selectExpr("issue", "t", "answer", "cast(NULL AS string) AS path", "cast(NULL AS string) AS content", "true AS own")
+    given = sources.selectExpr(f"cast(issue AS {kind}) AS issue", f"cast(NULL AS {place}) AS t", "cast(NULL AS string) AS answer", "path", "content", "false AS own")
+
+    def run(t: pa.Table) -> pa.Table:
+        issue, own = codes(t.column("issue")), np.asarray(t.column("own").combine_chunks())
+        held: dict[int, list[tuple[str | None, str | None]]] = {}
+        some = np.flatnonzero(~own)
+        for k, *file in zip(issue[some].tolist(), *(t.column(c).take(pa.array(some)).to_pylist() for c in ("path", "content")), strict=True):
+            held.setdefault(k, []).append(tuple(file))
+        rows = np.flatnonzero(own)
+        answer = t.column("answer").take(pa.array(rows))
+        code = codes(answer)
+        _, first, back = np.unique(issue[rows] * (int(code.max(initial=0)) + 1) + code, return_index=True, return_inverse=True)
+        got = [convert(x, dict(sorted(held.get(k, ()), key=lambda f: [(x is not None, x or "") for x in f]))) for x, k in zip(answer.take(pa.array(first)).to_pylist(), issue[rows[first]].tolist(), strict=True)]
+        cells = {n: pa.array([r[k] for r in got], pa.string()).take(pa.array(back)) for k, n in enumerate(RESULT.names)}
+        return pa.table({c: t.column(c).take(pa.array(rows)) for c in ("issue", "t")} | cells)
+
+    converted = by_issue(own.unionByName(given), run, f"issue {kind}, t {place}, patch string, syntax string, kinds string")
+    stray = answers.where("issue IS NULL").select("issue", "t", _convert("answer").alias("r")).select("issue", "t", "r.*")
+    return converted.unionByName(stray)
 
 
 def kind_class(kind):

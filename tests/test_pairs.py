@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from accordia.functions import codebleu, diffs, pairs, text
-from accordia.operators import patches
+from accordia.operators import conversion, patches
 from accordia.plans import catalog, facts, more
 from accordia.plans.study import Study
 
@@ -187,3 +187,15 @@ def test_codebleu_side_by_side(spark, tmp_path):
     df = catalog.queries()["codebleu_pairs"](spark, str(tmp_path))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan and df.count() == 55 * len(texts)
+
+
+def test_answers_are_converted_without_joins(spark, monkeypatch):
+    edit = "<edits><edit><file>{}</file><replace_this>{}</replace_this><with_this>{}</with_this></edit></edits>"
+    rows = [(1, t, edit.format("a.py", "x = 1", f"x = {t % 2}")) for t in range(4)] + [(1, 4, None), (2, 0, edit.format("a.py", "x", "y")), (None, 0, edit.format("a.py", "x = 1", "x = 2")), (3, 0, edit.format("b.py", "q", "r"))]
+    answers = spark.createDataFrame(rows, "issue int, t int, answer string")
+    files_ = [(1, "a.py", "x = 1\n"), (1, "a.py", None), (1, "b.py", "z\n"), (None, "a.py", "x = 1\n"), (3, "b.py", "a\nq\n"), (3, "b.py", "b\nq\n"), (9, "a.py", "x\n")]
+    df = conversion.predictions(answers, spark.createDataFrame(files_, "issue int, path string, content string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    held = {1: {"a.py": "x = 1\n", "b.py": "z\n"}, 3: {"b.py": "b\nq\n"}}
+    assert {(r.issue, r.t): (r.patch, r.syntax, r.kinds) for r in df.collect()} == {(k, t): conversion.convert(a, held.get(k)) for k, t, a in rows}
