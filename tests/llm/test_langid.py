@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -66,6 +67,38 @@ def test_positions_are_probabilities(model):
     assert p.shape == (len(raw), len(model.languages), 1) and np.allclose(p.sum(axis=1), 1, atol=1e-5)
 
 
+def test_scores_of_a_batch_keep_no_states(model):
+    """What a batch of windows holds at its peak: bytes and class scores, but no states of all steps (16 MB for 1,024 windows)."""
+    setup = langid.Setup()
+    text = "Der schnelle braune Fuchs, the quick brown fox. " * (setup.batch * setup.window // 48)
+    langid.predict(model, [text[:9000]])
+    tracemalloc.start()
+    try:
+        langid.predict(model, [text])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 << 20
+
+
+def test_both_cells_in_windows_of_unequal_length(model):
+    """Against each window by itself, a byte at a time, by the step that training takes."""
+    raw, w = np.frombuffer(("Zwölf Boxkämpfer " * 9).encode(), np.uint8), model.weights
+    length = np.array([40, 40, 17, 3, 1])
+    start = np.array([0, 5, 30, 2, 11])
+    p = langid.positions(model, raw, start, length)
+    for b, (s, n) in enumerate(zip(start, length, strict=True)):
+        score = np.tile(w["bias"], (n, 1))
+        for d, order in (("f", range(n)), ("b", range(n - 1, -1, -1))):
+            h = np.zeros((len(w["u" + d]) // 3, 1), np.float32)
+            for t in order:
+                z, _, c, _ = langid._step(w["u" + d], w["e" + d][:, raw[s + t : s + t + 1]], h)
+                h = c + z * (h - c)
+                score[t] += (w["o" + d] @ h)[:, 0]
+        plain = np.exp(score - score.max(axis=1, keepdims=True))
+        assert np.allclose(p[:n, :, b], plain / plain.sum(axis=1, keepdims=True), atol=1e-5)
+
+
 def test_odd_rows(odd, empty, model):
     got = langid.identify(odd, model).collect()
     assert len(got) == odd.count()
